@@ -1,4 +1,4 @@
-"""Shared pieces: table access, written intermediates, word streams and hashes.
+"""Shared pieces: table access, word streams and hashes.
 
 Words are maximal runs of bytes other than space and \\t..\\r, so ``bytes.split`` is exact, and
 ``bytes.lower`` lower-cases A-Z only.  A null text is an empty one.
@@ -6,8 +6,6 @@ Words are maximal runs of bytes other than space and \\t..\\r, so ``bytes.split`
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,23 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is named (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="linkloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: lineage ends there, and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/linkloom/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def byte_texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 bytes of each text without decoding them; null gives b''."""
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]

@@ -22,7 +22,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import scratch
+from linkloom.storage import scratch
 
 REVISIT_BYTES = 1000
 CRLF = "\r\n"
