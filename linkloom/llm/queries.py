@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.llm import jaccard, licenses, quality, repeats, sharding, warc
+from linkloom.llm import decontaminate, jaccard, licenses, packing, quality, repeats, sharding, warc
 from linkloom.llm.common import table
 
 
@@ -20,6 +20,14 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -32,7 +40,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages")).drop("payload", "stated_digest", "url")
 
 
-QUERIES = {f.__name__: f for f in (op3_jaccard, op4_quality, op5_sharding, op8_licenses, op9_repeats, op10_warc)}
+QUERIES = {f.__name__: f for f in (op3_jaccard, op4_quality, op5_sharding, op6_packing, op7_decontaminate, op8_licenses, op9_repeats, op10_warc)}
 
 ORACLES = {
     "op3_jaccard": r"""
