@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.llm import decontaminate, htmltree, jaccard, licenses, packing, quality, repeats, sharding, warc
+from linkloom.llm import decontaminate, htmltree, jaccard, licenses, packing, quality, repeats, sharding, toxicity, warc
 from linkloom.llm.common import table
 
 
@@ -12,6 +12,11 @@ def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltree.extract(table(spark, sf_dir, "pages"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.score(documents, toxicity.train(documents, table(spark, sf_dir, "labels")))
+
+
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(table(spark, sf_dir, "documents"))
 
@@ -44,7 +49,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages")).drop("payload", "stated_digest", "url")
 
 
-QUERIES = {f.__name__: f for f in (op1_html, op3_jaccard, op4_quality, op5_sharding, op6_packing, op7_decontaminate, op8_licenses, op9_repeats, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_html, op2_toxicity, op3_jaccard, op4_quality, op5_sharding, op6_packing, op7_decontaminate, op8_licenses, op9_repeats, op10_warc)}
 
 ORACLES = {
     "op3_jaccard": r"""
