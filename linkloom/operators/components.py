@@ -47,3 +47,36 @@ def incidence_components(inc: DataFrame) -> DataFrame:
         labels = fresh.select("entity_id", "comp")
         if fresh.filter("old <> comp").isEmpty():
             return labels
+
+
+def component_sizes(comp: DataFrame) -> DataFrame:
+    return comp.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+
+
+def component_key(comp: DataFrame) -> DataFrame:
+    """(comp, component_id): first nine hex digits of SHA-1 over the sorted entity ids, eight bytes each.
+
+    A component's ids are gathered in one row; integer ids only.
+    """
+    ids = F.array_sort(F.collect_list("entity_id"))
+    raw = F.unhex(F.array_join(F.transform(ids, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
+    return comp.groupBy("comp").agg(F.substring(F.sha1(raw), 1, 9).alias("component_id"), F.count(F.lit(1)).alias("size"))
+
+
+def both(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.intersect(b)
+
+
+def either(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.union(b).distinct()
+
+
+def only_one(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.union(b).groupBy(*a.columns).count().filter("count = 1").drop("count")
+
+
+def jaccard(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: shared, union and Jaccard index of two node sets."""
+    c = a.distinct().withColumn("_a", F.lit(1)).join(b.distinct().withColumn("_b", F.lit(1)), a.columns, "full")
+    shared, union = F.count(F.col("_a") + F.col("_b")), F.count(F.lit(1))
+    return c.agg(shared.alias("shared"), union.alias("n_union"), F.round(shared / union, 6).alias("jaccard"))
