@@ -60,6 +60,61 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+#: Odd bases of polynomial hashes modulo 2^64.
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
+
+class Powers:
+    """Powers of an odd base and of its inverse modulo 2^64."""
+
+    def __init__(self, base: int):
+        self.base, self.size = base, 0
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > self.size:
+            self.size = max(n, CHUNK_BYTES + 4096)
+            one = np.ones(1, np.uint64)
+            with np.errstate(over="ignore"):
+                self.up = np.concatenate((one, np.cumprod(np.full(self.size, self.base, np.uint64))))
+                self.down = np.concatenate((one, np.cumprod(np.full(self.size, pow(self.base, -1, 2**64), np.uint64))))
+        return self.up, self.down
+
+
+class ShingleSets:
+    """Sets of k-word shingles of many texts at once: words are hashed by prefix sums over the bytes."""
+
+    def __init__(self, k: int):
+        self.k, self.powers = k, Powers(BASES[0])
+        self.space = np.zeros(256, bool)
+        self.space[[32, *range(9, 14)]] = True
+
+    def word_hashes(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words of all texts, lower-cased, and the number of words before each text."""
+        data = np.frombuffer(b" ".join([*texts, b""]).lower(), np.uint8)
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        inside = np.concatenate(([False], ~self.space[data], [False]))
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        start, stop = edges[::2], edges[1::2]
+        up, down = self.powers.upto(len(data) + 1)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data + np.uint64(1)) * up[: len(data)], dtype=np.uint64)))
+        hashes = mix((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64))
+        return hashes, np.concatenate(([0], np.searchsorted(start, ends)))
+
+    def of(self, texts: list[bytes]) -> list[np.ndarray]:
+        """For each text the sorted distinct shingle hashes; of the whole sequence if it has fewer words."""
+        out: list[np.ndarray] = []
+        for a, b in spans([len(t) for t in texts]):
+            words, first = self.word_hashes(texts[a:b])
+            all_ = shingle_hashes(words, self.k) if len(words) >= self.k else words[:0]
+            for i, j in zip(first[:-1].tolist(), first[1:].tolist()):
+                if j - i >= self.k:
+                    s = np.sort(all_[i : j - self.k + 1])
+                    out.append(s[np.append(True, s[1:] != s[:-1])])
+                else:
+                    out.append(shingle_hashes(words[i:j], self.k))
+        return out
+
+
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Hash of each window of ``k`` word hashes, in order; of the whole sequence if it is shorter."""
     if not len(words):

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import WordHash, byte_texts, mix, row_groups, shingle_hashes
+from linkloom.llm.common import ShingleSets, byte_texts, mix, row_groups
 from linkloom.operators.components import connected_components
 from linkloom.storage import discard, written
 
@@ -43,11 +43,6 @@ TILE_SETS, TILE_SHINGLES = 64, 1 << 16
 NULL_ID = -(2**63)
 
 
-def shingle_set(text: bytes, hashes: WordHash, k: int = WORDS) -> np.ndarray:
-    """Distinct shingle hashes of a text, sorted."""
-    return np.unique(shingle_hashes(hashes.of(text.lower().split()), k))
-
-
 def prefix_size(n: int, percent: int) -> int:
     """A set of n and any set that links with it share one of so many first shingles."""
     return n - (percent * n + 99) // 100 + 1 if n else 0
@@ -85,9 +80,9 @@ def frequent_shingles(documents: DataFrame, k: int, percent: int) -> dict[int, i
     """Shingles frequent in prefixes by hash, over all documents, with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHash()
+        sets = ShingleSets(k)
         for _, texts in row_groups(batches):
-            parts = [s[: prefix_size(len(s), percent)] for s in (shingle_set(t, hashes, k) for t in texts)]
+            parts = [s[: prefix_size(len(s), percent)] for s in sets.of(texts)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).astype(np.uint64).view(np.int64))], names=["v"])
 
     counts = written(documents.select("text").mapInArrow(run, "v long").groupBy("v").count().filter(F.col("count") > 1), "counts")
@@ -102,11 +97,10 @@ def prefixes(documents: DataFrame, frequent: dict[int, int], k: int, percent: in
     """(id, n, d1, d2, prefix) of every document; d1, d2: digest of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, order = WordHash(), Order(frequent)
+        sets, order = ShingleSets(k), Order(frequent)
         for batch, texts in row_groups(batches):
             n, digests, parts = [], [], []
-            for text in texts:
-                s = shingle_set(text, hashes, k)
+            for s in sets.of(texts):
                 n.append(len(s))
                 digests.append((int(mix(s).sum()) if len(s) else 0, int(mix(s ^ np.uint64(0xA5A5A5A5DEADBEEF)).sum()) if len(s) else 0))
                 parts.append(order.prefix(s, prefix_size(len(s), percent)))
@@ -205,7 +199,7 @@ def tile_links(tiles: DataFrame, k: int, percent: int) -> DataFrame:
     """(src, dst) from rows of three lists of members: joined with all, with the third, with the second."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHash()
+        make = ShingleSets(k)
         for batch in batches:
             for r in range(batch.num_rows):
                 ids, comps, sets, side = [], [], [], []
@@ -215,7 +209,7 @@ def tile_links(tiles: DataFrame, k: int, percent: int) -> DataFrame:
                         continue
                     ids += members.field("id").to_pylist()
                     comps += members.field("comp").to_pylist()
-                    sets += [shingle_set(t, hashes, k) for t in byte_texts(members.field("text"))]
+                    sets += make.of(byte_texts(members.field("text")))
                     side += [which] * len(members)
                 if batch.num_columns == 2:
                     side = [3 if s else 0 for s in side]

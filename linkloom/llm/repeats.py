@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import CHUNK_BYTES, byte_texts, mix, row_groups, spans
+from linkloom.llm.common import BASES, CHUNK_BYTES, Powers, byte_texts, mix, row_groups, spans
 from linkloom.llm.suffixes import DEPTH, repeated_starts
 from linkloom.storage import discard, written
 
@@ -46,26 +46,9 @@ MOST, BLOCK_BYTES = 20_000, 1 << 20
 PLACE_BITS = 24
 PIECE = 8 << 20
 
-BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 KEYS = ["k_id", "k_text"]
 
 
-class Powers:
-    """Powers of an odd base and of its inverse modulo 2^64."""
-
-    def __init__(self, base: int):
-        self.base, self.size = base, 0
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > self.size:
-            self.size = max(n, CHUNK_BYTES + 4096)
-            one = np.ones(1, np.uint64)
-            with np.errstate(over="ignore"):
-                self.up = np.concatenate((one, np.cumprod(np.full(self.size, self.base, np.uint64))))
-                self.down = np.concatenate((one, np.cumprod(np.full(self.size, pow(self.base, -1, 2**64), np.uint64))))
-        return self.up, self.down
-
-
 class Anchors:
     """Finds (anchor hash, segment hash, piece, first string, last string) of the segments of some pieces."""
 
