@@ -276,15 +276,18 @@ def linked(documents: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tupl
     described = written(prefixes(documents, frequent_shingles(documents, k, percent), k, percent), "prefixes")
     classes = written(described.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min_by("prefix", "id").alias("prefix"), F.min("id").alias("id")), "classes")
     members = described.select("id", "n", "d1", "d2").join(classes.select("n", "d1", "d2", F.col("id").alias("rep")), ["n", "d1", "d2"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
+    members = written(members, "members")
+    discard(described)
     entries = written(lists(classes, percent), "lists")
+    discard(classes)
     # the leader met in most lists; a set that leads its own lists may stay its own
     lead = entries.groupBy("id", "leader", "n").count().groupBy("id", "n").agg(F.max(F.struct("count", -F.col("leader"))).alias("best")).select("id", "n", (-F.col("best").getField("col2")).alias("leader"))
     lead = written(chunked(lead, ["leader"]), "lead")
-    texts = written(source(documents).join(lead.select("id"), "id", "left_semi"), "texts")
-    member = F.struct("id", F.coalesce("comp", "id").alias("comp"), "text")
-    first = lead.withColumn("comp", F.col("id")).join(texts, "id").groupBy("leader", "chunk").agg(F.collect_list(member).alias("own"))
-    heads = texts.select(F.col("id").alias("leader"), F.array(F.struct("id", F.col("id").alias("comp"), "text")).alias("head"))
-    tiles = first.join(heads, "leader").select("head", F.filter("own", lambda m: m["id"] != F.col("leader")).alias("own"))
+    texts = written(source(documents).join(lead, "id"), "texts")
+    own = F.struct("id", F.col("id").alias("comp"), "text")
+    first = texts.filter("id <> leader").groupBy("leader", "chunk").agg(F.collect_list(own).alias("own"))
+    heads = texts.join(lead.filter("id <> leader").select(F.col("leader").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("leader"), F.array(own).alias("head"))
+    tiles = first.join(heads, "leader").select("head", "own")
     near = written(tile_links(tiles, k, percent), "near")
     comp = connected_components(near)
     # what is left: blocks with different components that meet in a list
@@ -295,7 +298,11 @@ def linked(documents: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tupl
     meeting = entries.select("v", "id", "pos").join(placed.select("id", "block", "comp", "n"), "id").withColumn("n_behind", F.col("n") - F.col("pos") - 1)
     within = placed.groupBy("block").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select(F.col("block").alias("b1"), F.col("block").alias("b2"))
     pairs = written(pairs_of_blocks(meeting, percent), "pairs")
-    blocks = written(placed.join(texts, "id").groupBy("block").agg(F.collect_list(member).alias("m")), "blocks")
+    needed = pairs.select(F.col("b1").alias("block")).union(pairs.select("b2")).union(within.select("b1")).distinct()
+    member = F.struct("id", "comp", "text")
+    blocks = written(placed.join(needed, "block", "left_semi").join(texts.select("id", "text"), "id").groupBy("block").agg(F.collect_list(member).alias("m")), "blocks")
+    discard(entries)
+    discard(texts)
     crossed = pairs.join(blocks.select(F.col("block").alias("b1"), F.col("m").alias("m1")), "b1").join(blocks.select(F.col("block").alias("b2"), F.col("m").alias("m2")), "b2")
     nobody = F.expr(f"cast(array() as array<{MEMBER}>)")
     inner = within.join(blocks.withColumnRenamed("block", "b1"), "b1").select(nobody.alias("head"), F.col("m").alias("own"))
