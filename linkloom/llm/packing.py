@@ -24,6 +24,7 @@ import os
 import random
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ LENGTH, END = 4096, 1
 GROUP, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4_000, 2, 2, 6, 4
 #: A bin below this share of the length is packed once more.
 POOR = 0.97
-MOST_WORDS = 250_000
+MOST_WORDS = 700_000
 
 
 def tokenizer_path() -> str:
@@ -47,7 +48,13 @@ def tokenizer_path() -> str:
 
 
 class Ids:
-    """text (bytes) -> little-endian 32-bit ids (bytes), by words between ASCII white space."""
+    """text (bytes) -> little-endian 32-bit ids (bytes), by words between ASCII white space.
+
+    Unknown words are encoded many at a time, with a private character between them: its ids show
+    where one word's ids end.
+    """
+
+    MARK = "\ue000"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -55,19 +62,42 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.mark = np.array(self.encode(self.MARK), "<u4")
+
+    def encode(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def learn(self, words: list[bytes]) -> None:
+        ids = np.array(self.encode(f" {self.MARK} ".join([w.decode() for w in words] + [""])), "<u4")
+        k = len(self.mark)
+        hit = np.ones(max(len(ids) - k + 1, 0), bool)
+        for j, m in enumerate(self.mark):
+            hit &= ids[j : j + len(hit)] == m
+        end = np.flatnonzero(hit)
+        raw = ids.tobytes()
+        self.known.update(zip(words, [raw[4 * a : 4 * b] for a, b in zip([0, *(end[:-1] + k).tolist()], end.tolist())], strict=True))
 
     def of(self, texts: list[bytes]) -> list[bytes]:
         words = [t.split() for t in texts]
         if len(self.known) > MOST_WORDS:
             self.known.clear()
-        new = list(set().union(*words).difference(self.known))
-        for a in range(0, len(new), 10_000):
-            part = new[a : a + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+        new = set().union(*words).difference(self.known)
+        mark = self.MARK.encode()
+        odd = [w for w in new if mark in w]
+        for w in odd:
+            self.known[w] = np.array(self.encode(w.decode()), "<u4").tobytes()
+        rest = list(new.difference(odd))
+        for a in range(0, len(rest), 5_000):
+            self.learn(rest[a : a + 5_000])
         return [b"".join(map(self.known.__getitem__, w)) for w in words]
 
 
+@cache
+def ids_of(path: str) -> Ids:
+    """One for each worker, so that words stay known from task to task."""
+    return Ids(path)
+
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -75,7 +105,7 @@ def pieces(documents: DataFrame, path: str | None = None, length: int = LENGTH)
     path = path or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids(path)
+        ids = ids_of(path)
         end = END.to_bytes(4, "little")
         for batch, texts in row_groups(batches):
             rows = []
