@@ -98,6 +98,8 @@ class Block:
         """(equal words, first, after) of the stretches along a diagonal that agree enough."""
         words = self.items[item][1]
         a, b = max(0, -start), min(len(words), len(ids) - start)
+        if a >= b:
+            return None
         equal = np.zeros(len(words), np.int32)
         equal[a:b] = words[a:b] == ids[start + a : start + b]
         window = min(WINDOW, len(words))
