@@ -169,6 +169,8 @@ def leaks(documents: DataFrame, benchmark: DataFrame, limit: int = BLOCK_WORDS)
 
 
 def without_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no test item."""
-    found = leaks(documents, benchmark).select(F.col("doc_id").alias("_leaked")).distinct()
-    return documents.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_leaked")), "left_anti")
+    """The documents that hold no test item; rows that share the doc_id of one that does go with it."""
+    found = leaks(documents, benchmark).select(F.col("doc_id").alias("leaked")).distinct()
+    # whole rows ride in one column, so no name of theirs can clash
+    rows = documents.select(F.col("doc_id").cast("long").alias("id"), F.struct("*").alias("row"))
+    return rows.join(found, F.col("id").eqNullSafe(F.col("leaked")), "left_anti").select("row.*")

@@ -326,10 +326,12 @@ def components(documents: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
 def one_of_each(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The documents without near copies: of each component the one with the smallest doc_id stays.
 
-    Of rows that repeat a doc_id one stays; documents without words stay.
+    Of rows that repeat doc_id and text one stays; documents without words or without an id stay.
     """
     found = components(documents, k, percent).filter("n_shingles > 0").groupBy("doc_id").agg(F.min("component_id").alias("keeper"))
-    gone = found.filter("keeper <> doc_id").select(F.col("doc_id").alias("_gone"))
-    kept = documents.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    once = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
-    return kept.withColumn("_copy", F.row_number().over(once)).filter("_copy = 1").drop("_copy")
+    gone = found.filter("keeper <> doc_id").select(F.col("doc_id").alias("gone"))
+    # whole rows ride in one column, so no name of theirs can clash
+    rows = documents.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"), F.struct("*").alias("row"))
+    kept = rows.join(gone, F.col("id") == F.col("gone"), "left_anti")
+    once = Window.partitionBy("id", "h").orderBy(F.lit(0))
+    return kept.withColumn("copy", F.row_number().over(once)).filter("copy = 1").select("row.*")

@@ -31,7 +31,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.common import BASES, CHUNK_BYTES, Powers, byte_texts, mix, row_groups, spans
@@ -91,9 +91,9 @@ class Anchors:
         return hashes[anchor[first]], segment, piece, lo - begin, hi - begin
 
 
-def keyed(documents: DataFrame) -> DataFrame:
+def keyed(documents: DataFrame, *more: Column) -> DataFrame:
     """doc_id and text with the two columns that tell rows apart."""
-    return documents.select("doc_id", "text").withColumns({"k_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "k_text": F.xxhash64("text")})
+    return documents.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("k_id"), F.xxhash64("text").alias("k_text"), *more)
 
 
 def anchors(documents: DataFrame) -> DataFrame:
@@ -239,11 +239,12 @@ def strip_repeats(documents: DataFrame, most: int = MOST) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [kept_bytes(t, covered(r)).decode("utf-8", "ignore") for t, r in zip(byte_texts(batch.column(0)), batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(texts, pa.string())], names=[*batch.schema.names[2:], "text_left"])
-
-    rest = [c for c in documents.columns if c != "text"]
-    full = documents.withColumns({"k_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "k_text": F.xxhash64("text")})
-    joined = full.join(repeated_places(documents, most), KEYS, "left").select("text", "ranges", *rest)
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema if f.name != "text"], "text_left string"])
-    left = joined.mapInArrow(run, schema).withColumnRenamed("text_left", "text")
-    return left.withColumns({"n_chars": F.length("text").cast("long")} if "n_chars" in rest else {}).select(*documents.columns)
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(texts, pa.string())], names=["rest", "left"])
+
+    # the other columns ride in one, so no name of theirs can clash
+    rest = documents.schema.__class__([f for f in documents.schema if f.name != "text"])
+    rows = keyed(documents, F.struct(*[F.col(f"`{f.name}`") for f in rest]).alias("rest"))
+    joined = rows.join(repeated_places(documents, most), KEYS, "left").select("text", "ranges", "rest")
+    left = joined.mapInArrow(run, f"rest {rest.simpleString()}, left string")
+    made = {"text": F.col("left"), "n_chars": F.length("left").cast("long")}
+    return left.select(*[made.get(c, F.col(f"rest.`{c}`")).alias(c) for c in documents.columns])
