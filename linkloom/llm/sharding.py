@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 SHARDS, SEED = 16, 20_011
 #: Rows wanted in a bucket, and the most buckets (the largest table one window sorts).
-BUCKET_ROWS, MOST_BUCKETS = 2_000, 1 << 16
+BUCKET_ROWS, MOST_BUCKETS = 250, 1 << 16
 
 
 def _offsets(df: DataFrame, strata: list[str], bucket: str) -> DataFrame:
