@@ -1,4 +1,4 @@
 """Registered queries and their oracle SQL."""
 
-from linkloom.plans import derived, graph, links  # noqa: F401
+from linkloom.plans import derived, edits, graph, links  # noqa: F401
 from linkloom.plans.registry import ORACLES, QUERIES  # noqa: F401
