@@ -14,6 +14,10 @@ exactly.  A component that arises answers for all its members: further tiles of
 only where the blocks hold different components, so a large group of near copies costs its size, not
 its square.  Within a tile, pairs already joined are skipped.
 
+Every set also has a signature of SIGNATURE bits, the parity of its shingles in each: two signatures
+differ in at most as many bits as the sets in shingles, so pairs whose signatures differ too much are
+skipped before any text is moved.  No pair that links is lost by it.
+
 Frequent shingles (a prefix count above ``P / MOST_FREQUENT`` of P prefix shingles, so fewer than
 MOST_FREQUENT of them) are the only thing that is broadcast.
 
@@ -41,6 +45,7 @@ FREQUENT, MOST_FREQUENT = 32, 1 << 18
 #: Bounds of a tile's side: sets, and shingles in all.
 TILE_SETS, TILE_SHINGLES = 64, 1 << 16
 NULL_ID = -(2**63)
+SIGNATURE = 1024
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -52,6 +57,18 @@ def links(common: int, n: int, m: int, percent: int) -> bool:
     return 100 * common >= percent * (n + m - common)
 
 
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """Parity bits of the shingles, as 64-bit words."""
+    odd = np.bincount((shingles & np.uint64(SIGNATURE - 1)).astype(np.int64), minlength=SIGNATURE) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def may_link(a: str, b: str, n: str, m: str, percent: int):
+    """Can sets with these signatures and sizes link?"""
+    bits = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    return bits * (100 + percent) <= (F.col(n) + F.col(m)) * (100 - percent)
+
+
 class Order:
     """The global order: rank of frequent shingles behind all others."""
 
@@ -94,22 +111,24 @@ def frequent_shingles(documents: DataFrame, k: int, percent: int) -> dict[int, i
 
 
 def prefixes(documents: DataFrame, frequent: dict[int, int], k: int, percent: int) -> DataFrame:
-    """(id, n, d1, d2, prefix) of every document; d1, d2: digest of the set."""
+    """(id, n, d1, d2, prefix, sign) of every document; d1, d2: digest of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, order = ShingleSets(k), Order(frequent)
         for batch, texts in row_groups(batches):
-            n, digests, parts = [], [], []
+            n, digests, parts, signs = [], [], [], []
             for s in sets.of(texts):
                 n.append(len(s))
                 digests.append((int(mix(s).sum()) if len(s) else 0, int(mix(s ^ np.uint64(0xA5A5A5A5DEADBEEF)).sum()) if len(s) else 0))
                 parts.append(order.prefix(s, prefix_size(len(s), percent)))
+                signs.append(signature(s))
             d = np.array(digests, np.uint64).reshape(-1, 2).view(np.int64)
             offsets = pa.array(np.cumsum([0, *map(len, parts)]), pa.int32())
             lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(parts).astype(np.uint64).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(d[:, 0]), pa.array(d[:, 1]), lists], names=["id", "n", "d1", "d2", "prefix"])
+            words = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * (SIGNATURE // 64), pa.int32()), pa.array(np.concatenate(signs)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(d[:, 0]), pa.array(d[:, 1]), lists, words], names=["id", "n", "d1", "d2", "prefix", "sign"])
 
-    return source(documents).mapInArrow(run, "id long, n int, d1 long, d2 long, prefix array<long>")
+    return source(documents).mapInArrow(run, "id long, n int, d1 long, d2 long, prefix array<long>, sign array<long>")
 
 
 def lists(classes: DataFrame, percent: int) -> DataFrame:
@@ -271,43 +290,73 @@ def pairs_of_blocks(entries: DataFrame, percent: int) -> DataFrame:
     return blocks.select("v", "block", "least", "most", "pos", "behind", "last", "c1", "c2").mapInArrow(run, "b1 long, b2 long").distinct()
 
 
+def possible(pairs: DataFrame, percent: int) -> DataFrame:
+    """Those (b1, b2) with members of different components that may link, by lists of (n, comp, sign)."""
+
+    def side(column: pa.Array, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        members = column[r].values
+        signs = members.field("sign").flatten().to_numpy(False).view(np.uint64).reshape(len(members), -1)
+        return members.field("n").to_numpy(False).astype(np.int64), members.field("comp").to_numpy(False), signs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for r in range(batch.num_rows):
+                (n, c, x), (m, d, y) = side(batch.column(2), r), side(batch.column(3), r)
+                bits = np.bitwise_count(x[:, None, :] ^ y[None, :, :]).sum(axis=2, dtype=np.int64)
+                sums = n[:, None] + m[None, :]
+                fit = percent * np.maximum(n[:, None], m[None, :]) <= 100 * np.minimum(n[:, None], m[None, :])
+                keep.append(bool((fit & (bits * (100 + percent) <= sums * (100 - percent)) & (c[:, None] != d[None, :])).any()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], names=["b1", "b2"])
+
+    return pairs.select("b1", "b2", "s1", "s2").mapInArrow(run, "b1 long, b2 long")
+
+
 def linked(documents: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(id, n, rep) of every document, and (src, dst) links that connect the components of classes."""
     described = written(prefixes(documents, frequent_shingles(documents, k, percent), k, percent), "prefixes")
-    classes = written(described.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min_by("prefix", "id").alias("prefix"), F.min("id").alias("id")), "classes")
+    one = F.min_by(F.struct("prefix", "sign"), "id").alias("x")
+    classes = written(described.filter("n > 0").groupBy("n", "d1", "d2").agg(one, F.min("id").alias("id")).select("n", "d1", "d2", "id", "x.*"), "classes")
     members = described.select("id", "n", "d1", "d2").join(classes.select("n", "d1", "d2", F.col("id").alias("rep")), ["n", "d1", "d2"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
     members = written(members, "members")
     discard(described)
     entries = written(lists(classes, percent), "lists")
-    discard(classes)
     # the leader met in most lists; a set that leads its own lists may stay its own
-    lead = entries.groupBy("id", "leader", "n").count().groupBy("id", "n").agg(F.max(F.struct("count", -F.col("leader"))).alias("best")).select("id", "n", (-F.col("best").getField("col2")).alias("leader"))
-    lead = written(chunked(lead, ["leader"]), "lead")
+    best = entries.groupBy("id", "leader", "n").count().groupBy("id", "n").agg(F.max(F.struct("count", -F.col("leader"))).alias("best")).select("id", "n", (-F.col("best").getField("col2")).alias("leader"))
+    signs = written(classes.select("id", "n", "sign").join(best.select("id").distinct(), "id", "left_semi"), "signs")
+    discard(classes)
+    led = best.join(signs.select("id", "sign"), "id").join(signs.select(F.col("id").alias("leader"), F.col("n").alias("m"), F.col("sign").alias("lead_sign")), "leader")
+    led = led.select("id", "n", "leader", ((F.col("id") != F.col("leader")) & may_link("sign", "lead_sign", "n", "m", percent)).alias("meets"))
+    lead = written(chunked(led, ["leader"]), "lead")
     texts = written(source(documents).join(lead, "id"), "texts")
     own = F.struct("id", F.col("id").alias("comp"), "text")
-    first = texts.filter("id <> leader").groupBy("leader", "chunk").agg(F.collect_list(own).alias("own"))
-    heads = texts.join(lead.filter("id <> leader").select(F.col("leader").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("leader"), F.array(own).alias("head"))
-    tiles = first.join(heads, "leader").select("head", "own")
-    near = written(tile_links(tiles, k, percent), "near")
+    first = texts.filter("meets").groupBy("leader", "chunk").agg(F.collect_list(own).alias("own"))
+    heads = texts.join(lead.filter("meets").select(F.col("leader").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("leader"), F.array(own).alias("head"))
+    near = written(tile_links(first.join(heads, "leader").select("head", "own"), k, percent), "near")
     comp = connected_components(near)
     # what is left: blocks with different components that meet in a list
     placed = lead.select("id", "n", "leader").join(comp, F.col("id") == F.col("node"), "left").select("id", "n", "leader", F.coalesce("comp", "id").alias("comp"))
-    led = placed.select(F.col("id").alias("leader"), F.col("comp").alias("lead_comp"))
-    placed = placed.join(led, "leader", "left").withColumn("apart", ~F.col("comp").eqNullSafe(F.col("lead_comp"))).drop("lead_comp")
+    heading = placed.select(F.col("id").alias("leader"), F.col("comp").alias("lead_comp"))
+    placed = placed.join(heading, "leader", "left").withColumn("apart", ~F.col("comp").eqNullSafe(F.col("lead_comp"))).drop("lead_comp")
     placed = written(chunked(placed, ["leader", "apart"]).withColumn("block", F.xxhash64("leader", "apart", "chunk")), "placed")
     meeting = entries.select("v", "id", "pos").join(placed.select("id", "block", "comp", "n"), "id").withColumn("n_behind", F.col("n") - F.col("pos") - 1)
     within = placed.groupBy("block").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select(F.col("block").alias("b1"), F.col("block").alias("b2"))
-    pairs = written(pairs_of_blocks(meeting, percent), "pairs")
-    needed = pairs.select(F.col("b1").alias("block")).union(pairs.select("b2")).union(within.select("b1")).distinct()
+    pairs = written(pairs_of_blocks(meeting, percent).unionByName(within), "meeting")
+    discard(entries)
+    seen = written(placed.join(signs.select("id", "sign"), "id").groupBy("block").agg(F.collect_list(F.struct("n", "comp", "sign")).alias("s")), "signed")
+    either = lambda of, name, i: of.select(F.col("block").alias(f"b{i}"), F.col(name).alias(f"{name}{i}"))
+    pairs = written(possible(pairs.join(either(seen, "s", 1), "b1").join(either(seen, "s", 2), "b2"), percent), "pairs")
+    discard(seen)
+    needed = pairs.select(F.col("b1").alias("block")).union(pairs.select("b2")).distinct()
     member = F.struct("id", "comp", "text")
     blocks = written(placed.join(needed, "block", "left_semi").join(texts.select("id", "text"), "id").groupBy("block").agg(F.collect_list(member).alias("m")), "blocks")
-    discard(entries)
     discard(texts)
-    crossed = pairs.join(blocks.select(F.col("block").alias("b1"), F.col("m").alias("m1")), "b1").join(blocks.select(F.col("block").alias("b2"), F.col("m").alias("m2")), "b2")
     nobody = F.expr(f"cast(array() as array<{MEMBER}>)")
-    inner = within.join(blocks.withColumnRenamed("block", "b1"), "b1").select(nobody.alias("head"), F.col("m").alias("own"))
+    crossed = pairs.filter("b1 <> b2").join(either(blocks, "m", 1), "b1").join(either(blocks, "m", 2), "b2")
+    inner = pairs.filter("b1 = b2").join(either(blocks, "m", 1), "b1").select(nobody.alias("head"), F.col("m1").alias("own"))
     further = tile_links(crossed.select(nobody.alias("none"), "m1", "m2"), k, percent).unionByName(tile_links(inner, k, percent))
     everything = written(near.unionByName(further), "links")
+    discard(blocks)
     return members, everything
 
 
