@@ -22,6 +22,7 @@ from __future__ import annotations
 import bisect
 import os
 import random
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -50,11 +51,16 @@ def tokenizer_path() -> str:
 class Ids:
     """text (bytes) -> little-endian 32-bit ids (bytes), by words between ASCII white space.
 
-    Unknown words are encoded many at a time, with a private character between them: its ids show
-    where one word's ids end.
+    Unknown words are encoded many at a time.  Words of plain Latin text are cut into the letter runs,
+    digits and symbol runs that the tokenizer itself cuts them into, since fewer of those are unknown;
+    the token that ends each is marked in the vocabulary.  Between other words stands a private
+    character, whose ids show where one word's ids end.
     """
 
     MARK = "\ue000"
+    # ASCII and the Latin letters and signs that lower-casing and composition leave one character each
+    PLAIN = re.compile("[\x21-\x7e\xa1-\xa9\xab-\xb1\xb4-\xb8\xbb\xbf-\u012f\u0131-\u017e]*")
+    PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -62,7 +68,11 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.mark = np.array(self.encode(self.MARK), "<u4")
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def encode(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -77,11 +87,27 @@ class Ids:
         raw = ids.tobytes()
         self.known.update(zip(words, [raw[4 * a : 4 * b] for a, b in zip([0, *(end[:-1] + k).tolist()], end.tolist())], strict=True))
 
+    def learn_plain(self, words: dict[bytes, str]) -> None:
+        if len(self.parts) > MOST_WORDS:
+            self.parts.clear()
+        cut = {w: self.PARTS.findall(t.lower()) for w, t in words.items()}
+        new = list({p for parts in cut.values() for p in parts}.difference(self.parts))
+        for a in range(0, len(new), 5_000):
+            part = new[a : a + 5_000]
+            ids = np.array(self.encode(" ".join(part)), "<u4")
+            end = np.flatnonzero(self.ends[ids]) + 1
+            raw = ids.tobytes()
+            self.parts.update(zip(part, [raw[4 * a : 4 * b] for a, b in zip([0, *end[:-1].tolist()], end.tolist())], strict=True))
+        self.known.update((w, b"".join(map(self.parts.__getitem__, parts))) for w, parts in cut.items())
+
     def of(self, texts: list[bytes]) -> list[bytes]:
         words = [t.split() for t in texts]
         if len(self.known) > MOST_WORDS:
             self.known.clear()
         new = set().union(*words).difference(self.known)
+        plain = {w: t for w in new if self.PLAIN.fullmatch(t := w.decode()) and "<|" not in t}
+        self.learn_plain(plain)
+        new.difference_update(plain)
         mark = self.MARK.encode()
         odd = [w for w in new if mark in w]
         for w in odd:
