@@ -281,7 +281,7 @@ def approved_report(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT 'p_brand' AS column_name, count(p_brand) AS filled, 'String' AS kind FROM part UNION ALL SELECT 'p_partkey', count(p_partkey), 'Integer' FROM part UNION ALL SELECT 'p_retailprice', count(p_retailprice), 'Double' FROM part UNION ALL SELECT 'p_name', count(p_name), 'String' FROM part UNION ALL SELECT 'p_size', count(p_size), 'Integer' FROM part UNION ALL SELECT 'p_type', count(p_type), 'String' FROM part")
 def property_profile(spark: SparkSession, d: str) -> DataFrame:
-    return formats.profile(table(spark, d, "part"))
+    return formats.profile(table(spark, d, "part"), None)
 
 
 @query("SELECT p_partkey::VARCHAR AS f0, p_name AS f1, p_brand || '|' || p_type AS f2, p_brand AS first FROM part")
