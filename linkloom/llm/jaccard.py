@@ -173,8 +173,8 @@ def lists(classes: DataFrame, percent: int) -> DataFrame:
     return entries.select("v", "n", "id", "pos").mapInArrow(run, "v long, id long, n int, pos int, leader long")
 
 
-def join_tile(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, comp: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that connect what the tile's links connect; side: 1 and 2 are joined with each other, 0 with all, 3 among themselves."""
+def join_tile(sets: list[np.ndarray], side: np.ndarray, comp: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """(component, least component) of those that the tile's links connect; side: 1 and 2 are joined with each other, 0 with all, 3 among themselves."""
     order = np.argsort([len(s) for s in sets], kind="stable").tolist()
     parent = {int(c): int(c) for c in comp}
 
@@ -197,7 +197,6 @@ def join_tile(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, comp: n
             matrix = np.zeros((len(sets), min(width - a, 1 << 15)), np.float32)
             matrix[row[inside], column[inside] - a] = 1
             overlap += (matrix @ matrix.T).astype(np.int64)
-    out = []
     for x, i in enumerate(order):
         for j in order[x + 1 :]:
             if percent * n[j] > 100 * n[i]:
@@ -206,9 +205,9 @@ def join_tile(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, comp: n
                 continue
             both = int(overlap[i, j]) if overlap is not None else len(np.intersect1d(sets[i], sets[j], assume_unique=True))
             if links(both, n[i], n[j], percent):
-                parent[root(int(comp[i]))] = root(int(comp[j]))
-                out.append((int(ids[i]), int(ids[j])))
-    return out
+                a, b = root(int(comp[i])), root(int(comp[j]))
+                parent[max(a, b)] = min(a, b)
+    return [(c, root(c)) for c in parent if root(c) != c]
 
 
 MEMBER = "struct<id:long,comp:long,text:string>"
@@ -221,18 +220,17 @@ def tile_links(tiles: DataFrame, k: int, percent: int) -> DataFrame:
         make = ShingleSets(k)
         for batch in batches:
             for r in range(batch.num_rows):
-                ids, comps, sets, side = [], [], [], []
+                comps, sets, side = [], [], []
                 for which in range(batch.num_columns):
                     members = batch.column(which)[r].values
                     if members is None:
                         continue
-                    ids += members.field("id").to_pylist()
                     comps += members.field("comp").to_pylist()
                     sets += make.of(byte_texts(members.field("text")))
                     side += [which] * len(members)
                 if batch.num_columns == 2:
                     side = [3 if s else 0 for s in side]
-                found = join_tile(np.array(ids), sets, np.array(side), np.array(comps), percent)
+                found = join_tile(sets, np.array(side), np.array(comps), percent)
                 if found:
                     a, b = zip(*found)
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["src", "dst"])
@@ -291,29 +289,32 @@ def pairs_of_blocks(entries: DataFrame, percent: int) -> DataFrame:
 
 
 def possible(pairs: DataFrame, percent: int) -> DataFrame:
-    """Those (b1, b2) with members of different components that may link, by lists of (n, comp, sign)."""
+    """Those (b1, b2) with members of different components that may link, and these members, by lists of (id, n, comp, sign)."""
 
-    def side(column: pa.Array, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def side(column: pa.Array, r: int) -> tuple[np.ndarray, ...]:
         members = column[r].values
         signs = members.field("sign").flatten().to_numpy(False).view(np.uint64).reshape(len(members), -1)
-        return members.field("n").to_numpy(False).astype(np.int64), members.field("comp").to_numpy(False), signs
+        return members.field("id").to_numpy(False), members.field("n").to_numpy(False).astype(np.int64), members.field("comp").to_numpy(False), signs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            rows = []
             for r in range(batch.num_rows):
-                (n, c, x), (m, d, y) = side(batch.column(2), r), side(batch.column(3), r)
+                (i, n, c, x), (j, m, d, y) = side(batch.column(2), r), side(batch.column(3), r)
                 bits = np.bitwise_count(x[:, None, :] ^ y[None, :, :]).sum(axis=2, dtype=np.int64)
                 sums = n[:, None] + m[None, :]
                 fit = percent * np.maximum(n[:, None], m[None, :]) <= 100 * np.minimum(n[:, None], m[None, :])
-                keep.append(bool((fit & (bits * (100 + percent) <= sums * (100 - percent)) & (c[:, None] != d[None, :])).any()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], names=["b1", "b2"])
+                fit &= (bits * (100 + percent) <= sums * (100 - percent)) & (c[:, None] != d[None, :])
+                if fit.any():
+                    rows.append((batch.column(0)[r].as_py(), batch.column(1)[r].as_py(), i[fit.any(axis=1)].tolist(), j[fit.any(axis=0)].tolist()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())))], names=["b1", "b2", "i1", "i2"])
 
-    return pairs.select("b1", "b2", "s1", "s2").mapInArrow(run, "b1 long, b2 long")
+    return pairs.select("b1", "b2", "s1", "s2").mapInArrow(run, "b1 long, b2 long, i1 array<long>, i2 array<long>")
 
 
 def linked(documents: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(id, n, rep) of every document, and (src, dst) links that connect the components of classes."""
+    """(id, n, rep) of every document, and (node, comp) of the classes that link with others."""
     described = written(prefixes(documents, frequent_shingles(documents, k, percent), k, percent), "prefixes")
     one = F.min_by(F.struct("prefix", "sign"), "id").alias("x")
     classes = written(described.filter("n > 0").groupBy("n", "d1", "d2").agg(one, F.min("id").alias("id")).select("n", "d1", "d2", "id", "x.*"), "classes")
@@ -343,27 +344,29 @@ def linked(documents: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tupl
     within = placed.groupBy("block").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select(F.col("block").alias("b1"), F.col("block").alias("b2"))
     pairs = written(pairs_of_blocks(meeting, percent).unionByName(within), "meeting")
     discard(entries)
-    seen = written(placed.join(signs.select("id", "sign"), "id").groupBy("block").agg(F.collect_list(F.struct("n", "comp", "sign")).alias("s")), "signed")
+    seen = written(placed.join(signs.select("id", "sign"), "id").groupBy("block").agg(F.collect_list(F.struct("id", "n", "comp", "sign")).alias("s")), "signed")
     either = lambda of, name, i: of.select(F.col("block").alias(f"b{i}"), F.col(name).alias(f"{name}{i}"))
     pairs = written(possible(pairs.join(either(seen, "s", 1), "b1").join(either(seen, "s", 2), "b2"), percent), "pairs")
     discard(seen)
-    needed = pairs.select(F.col("b1").alias("block")).union(pairs.select("b2")).distinct()
+    needed = pairs.select(F.col("b1").alias("block"), F.explode("i1").alias("id")).union(pairs.select("b2", F.explode("i2"))).distinct()
     member = F.struct("id", "comp", "text")
-    blocks = written(placed.join(needed, "block", "left_semi").join(texts.select("id", "text"), "id").groupBy("block").agg(F.collect_list(member).alias("m")), "blocks")
+    blocks = written(placed.join(needed, ["block", "id"], "left_semi").join(texts.select("id", "text"), "id").groupBy("block").agg(F.collect_list(member).alias("m")), "blocks")
     discard(texts)
     nobody = F.expr(f"cast(array() as array<{MEMBER}>)")
     crossed = pairs.filter("b1 <> b2").join(either(blocks, "m", 1), "b1").join(either(blocks, "m", 2), "b2")
     inner = pairs.filter("b1 = b2").join(either(blocks, "m", 1), "b1").select(nobody.alias("head"), F.col("m1").alias("own"))
     further = tile_links(crossed.select(nobody.alias("none"), "m1", "m2"), k, percent).unionByName(tile_links(inner, k, percent))
-    everything = written(near.unionByName(further), "links")
+    far = written(further, "far")
     discard(blocks)
-    return members, everything
+    # the tiles compared members by component, so these links are few and between components
+    joined = connected_components(far).withColumnsRenamed({"node": "c", "comp": "least"})
+    final = placed.select(F.col("id").alias("node"), "comp").join(joined, F.col("comp") == F.col("c"), "left").select("node", F.coalesce("least", "comp").alias("comp"))
+    return members, final.groupBy("node").agg(F.min("comp").alias("comp"))
 
 
 def components(documents: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
-    members, found = linked(documents, k, percent)
-    comp = connected_components(found)
+    members, comp = linked(documents, k, percent)
     back = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return (
         members.join(comp, F.col("rep") == F.col("node"), "left")
