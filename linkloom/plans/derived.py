@@ -17,7 +17,7 @@ from linkloom.sources import formats
 from linkloom.sources import sinks
 from linkloom.sources.views import PARTIES_SQL, PARTS_SQL, parties, parts, table, with_components
 
-one = F.lit(1)
+one = "*"
 
 # --- resolution -------------------------------------------------------------------------------------
 

@@ -15,7 +15,7 @@ from linkloom.plans.links import EDGES_SQL
 from linkloom.plans.registry import query
 from linkloom.sources.views import DOCS_SQL, PARTIES_SQL, PARTS_SQL, docs, parties, parts, table, with_components
 
-one = F.lit(1)
+one = "*"
 
 
 @query(with_components(PARTS_SQL) + " SELECT comp_size, count(*) AS n_components FROM (SELECT count(*) AS comp_size FROM comp GROUP BY comp) GROUP BY comp_size")
