@@ -13,9 +13,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.operators.components import connected_components
+from linkloom.storage import written
 
 #: Order of the guarded merges: a stronger key first.
 ORDER = ["R_activeMoiety", "I_UNII", "H_LyChI_L5", "H_LyChI_L4", "I_CAS", "I_DB", "I_ChEMBL", "I_CODE", "N_Name"]
+#: 64-bit words of a value's signature.
+SIGNATURE = 4
 
 
 class UnionFind:
@@ -104,13 +107,28 @@ def sgroups(classes: DataFrame, entities: DataFrame, version: int) -> DataFrame:
 
 
 def value_groups(inc: DataFrame, percent: int = 40) -> DataFrame:
-    """(a, b, similarity): values whose entity sets have a Jaccard index above ``percent`` percent."""
-    size = inc.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-    x, y = inc.select("entity_id", F.col("value").alias("a")), inc.select("entity_id", F.col("value").alias("b"))
-    both = x.join(y, "entity_id").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("ov"))
-    j = both.join(size.select(F.col("value").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("value").alias("b"), F.col("n").alias("nb")), "b")
-    s = F.col("ov") / (F.col("na") + F.col("nb") - F.col("ov"))
-    return j.filter(s > percent / 100).select("a", "b", F.round(s, 6).alias("similarity"))
+    """(a, b, similarity): values whose entity sets (rows of ``inc``, each once) have a Jaccard index above ``percent`` percent.
+
+    Entities are ordered, rare ones first.  Two sets that link share at least ``need`` entities, so the
+    first of these stands where as many are left in both; pairs meet only there.  Parity signatures differ
+    in at most as many bits as the sets in entities, so most other pairs end within the join, before they
+    are rows; what is left is counted exactly.
+    """
+    own, bit = Window.partitionBy("value"), F.pmod(F.xxhash64("entity_id"), F.lit(64 * SIGNATURE)).cast("int")
+    rare = inc.groupBy("entity_id").agg(F.count(F.lit(1)).alias("_f"))
+    words = {f"s{i}": F.bit_xor(F.when(F.floor(bit / 64) == i, F.call_function("shiftleft", F.lit(1).cast("long"), bit % 64)).otherwise(F.lit(0).cast("long"))).over(own) for i in range(SIGNATURE)}
+    placed = inc.join(rare, "entity_id", "left").withColumns(words | {"n": F.count(F.lit(1)).over(own), "pos": F.row_number().over(own.orderBy("_f", "entity_id"))})
+    front = written(placed.filter(F.expr(f"pos <= n - {percent} * n div 100")).drop("_f"), "front")
+    x, y = (front.select("entity_id", *[F.col(c).alias(c + side) for c in ("value", "n", "pos", *words)]) for side in "xy")
+    sums = F.col("nx") + F.col("ny")
+    need = F.expr(f"{percent} * (nx + ny) div {100 + percent}") + 1
+    bits = sum((F.bit_count(F.col(f"{w}x").bitwiseXOR(F.col(f"{w}y"))) for w in words), F.lit(0))
+    meet = (F.col("valuex") < F.col("valuey")) & (F.col("posx") <= F.col("nx") - need + 1) & (F.col("posy") <= F.col("ny") - need + 1) & (bits <= sums - 2 * need)
+    found = written(x.join(y, "entity_id").filter(meet).select(F.col("valuex").alias("a"), F.col("valuey").alias("b"), sums.alias("_sum")).distinct(), "found")
+    left, right = inc.select("entity_id", F.col("value").alias("a")), inc.select("entity_id", F.col("value").alias("b"))
+    both = found.join(left, "a").join(right, ["b", "entity_id"]).groupBy("a", "b", "_sum").agg(F.count(F.lit(1)).alias("ov"))
+    s = F.col("ov") / (F.col("_sum") - F.col("ov"))
+    return both.filter(s > percent / 100).select("a", "b", F.round(s, 6).alias("similarity"))
 
 
 def plsa(inc: DataFrame, comp: DataFrame, topics: int = 2, seed: int = 11) -> DataFrame:

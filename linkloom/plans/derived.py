@@ -75,10 +75,9 @@ def singleton_merge(spark: SparkSession, d: str) -> DataFrame:
     return R.singletons_merged(classes, edges)
 
 
-@query("WITH i AS (SELECT DISTINCT l_suppkey % 50 AS e, l_partkey % 20 AS v FROM lineitem WHERE l_orderkey % 5 = 0), s AS (SELECT v, count(*) AS n FROM i GROUP BY v), p AS (SELECT x.v AS a, y.v AS b, count(*) AS ov FROM i x JOIN i y ON x.e = y.e AND x.v < y.v GROUP BY ALL) SELECT a, b, round(ov / (m.n + n.n - ov), 6) AS similarity FROM p JOIN s m ON m.v = a JOIN s n ON n.v = b WHERE ov / (m.n + n.n - ov) > 0.4")
+@query("WITH i AS (SELECT DISTINCT l_suppkey AS e, l_partkey AS v FROM lineitem), s AS (SELECT v, count(*) AS n FROM i GROUP BY v), p AS (SELECT x.v AS a, y.v AS b, count(*) AS ov FROM i x JOIN i y ON x.e = y.e AND x.v < y.v GROUP BY ALL) SELECT a, b, round(ov / (m.n + n.n - ov), 6) AS similarity FROM p JOIN s m ON m.v = a JOIN s n ON n.v = b WHERE ov / (m.n + n.n - ov) > 0.4")
 def value_similarity(spark: SparkSession, d: str) -> DataFrame:
-    i = table(spark, d, "lineitem").filter("l_orderkey % 5 = 0").select((F.col("l_suppkey") % 50).alias("entity_id"), (F.col("l_partkey") % 20).alias("value")).distinct()
-    return R.value_groups(i)
+    return R.value_groups(table(spark, d, "lineitem").select(F.col("l_suppkey").alias("entity_id"), F.col("l_partkey").alias("value")).distinct())
 
 
 @query()

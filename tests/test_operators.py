@@ -1,11 +1,14 @@
 """Hand-made graphs and rows with known answers."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from linkloom import model
 from linkloom.functions import keys as K
 from linkloom.operators import cliques, components, curate, events, linking, neighborhood, paths, resolve, search
+from linkloom.plans import derived
 from linkloom.sources import formats, loaders, sinks
 from linkloom.streaming import ingest
 
@@ -97,6 +100,25 @@ def test_guarded_classes(spark):
     assert roots == {1: 2, 4: 2}
 
 
+def test_value_groups(spark):
+    rng, sets = random.Random(5), {}
+    for v in range(120):
+        near = sets.get(rng.randrange(v)) if v and v % 2 else None
+        sets[v] = set(rng.sample(sorted(near), max(1, len(near) * rng.randrange(3, 10) // 10))) if near else set(rng.sample(range(300), rng.choice([1, 2, 5, 7, 30, 200])))
+    inc = spark.createDataFrame([(e, v) for v, s in sets.items() for e in s], "entity_id long, value long")
+    for percent in (40, 75):
+        want = {(a, b): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) > percent * len(sets[a] | sets[b])}
+        assert want and {(r.a, r.b): r.similarity for r in resolve.value_groups(inc, percent).collect()} == want
+
+
+def test_value_similarity_takes_all_rows(spark, sf):
+    sets = {}
+    for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_partkey", "l_suppkey").distinct().collect():
+        sets.setdefault(r.l_partkey, set()).add(r.l_suppkey)
+    want = {(a, b) for a in sets for b in sets if a < b and 10 * len(sets[a] & sets[b]) > 4 * len(sets[a] | sets[b])}
+    assert {(r.a, r.b) for r in derived.value_similarity(spark, sf).collect()} == want
+
+
 def test_long_chain_and_empty(spark):
     n = 60
     chain = spark.range(n - 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
