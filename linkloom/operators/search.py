@@ -45,15 +45,15 @@ def search(idx: DataFrame, query: str, top: int | None = None) -> DataFrame:
 
 
 def ngrams(text: Column, least: int = 1, most: int = 3, stop: list[str] = STOP) -> Column:
-    """Shingles of least..most words without stop words; each size pairs the one before with the words shifted."""
+    """Shingles of least..most words without stop words, smaller sizes first."""
     words = F.filter(tokens(text), lambda w: ~w.isin(stop)) if stop else tokens(text)
-    grams, out = words, [words] if least <= 1 else []
-    for n in range(2, most + 1):
-        # what has no word left to its right is null and goes
-        grams = F.zip_with(grams, F.slice(words, n, 1 << 30), lambda g, w: F.when(w.isNotNull(), F.concat(g, F.lit(" "), w)))
-        if n >= least:
-            out.append(F.filter(grams, lambda g: g.isNotNull()))
-    return F.concat(*out)
+
+    def grams(w: Column, n: int) -> Column:
+        first = F.slice(w, F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(0)))
+        return F.transform(first, lambda x, i: F.concat(x, *[y for j in range(1, n) for y in (F.lit(" "), F.get(w, i + j))])) if n > 1 else w
+
+    # a variable of a function, so the words of a text are found once
+    return F.flatten(F.transform(F.array(words), lambda w: F.concat(*[grams(w, n) for n in range(least, most + 1)])))
 
 
 def resolve(texts: DataFrame, entity: str, text: str, names: DataFrame, most: int = 3) -> DataFrame:

@@ -191,9 +191,9 @@ def search_hits(spark: SparkSession, d: str) -> DataFrame:
     return S.search(S.index(table(spark, d, "documents"), "doc_id", "text"), "+license under ~the -der")
 
 
-@query(r"WITH w AS (SELECT item_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: NOT list_contains(['a','an','and','are','as','at','be','but','by','for','if','in','into','is','it','no','not','of','on','or','such','that','the','their','then','there','these','they','this','to','was','will','with'], x)) AS w FROM benchmark), g AS (SELECT w[i] AS gram FROM (SELECT w, unnest(range(1, len(w) + 1)) AS i FROM w) UNION ALL SELECT w[i] || ' ' || w[i + 1] FROM (SELECT w, unnest(range(1, len(w))) AS i FROM w) UNION ALL SELECT w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FROM (SELECT w, unnest(range(1, len(w) - 1)) AS i FROM w)) SELECT gram, count(*) AS n FROM g GROUP BY gram")
+@query(r"WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: NOT list_contains(['a','an','and','are','as','at','be','but','by','for','if','in','into','is','it','no','not','of','on','or','such','that','the','their','then','there','these','they','this','to','was','will','with'], x)) AS w FROM documents), g AS (SELECT w[i] AS gram FROM (SELECT w, unnest(range(1, len(w) + 1)) AS i FROM w) UNION ALL SELECT w[i] || ' ' || w[i + 1] FROM (SELECT w, unnest(range(1, len(w))) AS i FROM w) UNION ALL SELECT w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FROM (SELECT w, unnest(range(1, len(w) - 1)) AS i FROM w)) SELECT gram, count(*) AS n FROM g GROUP BY gram")
 def ngrams(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "benchmark").select(F.explode(S.ngrams(F.col("text"))).alias("gram")).groupBy("gram").agg(F.count(one).alias("n"))
+    return table(spark, d, "documents").select(F.explode(S.ngrams(F.col("text"))).alias("gram")).groupBy("gram").agg(F.count(one).alias("n"))
 
 
 @query("WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents), nm AS (SELECT DISTINCT array_to_string(regexp_extract_all(lower(x), '[a-z0-9]+'), ' ') AS name FROM (SELECT unnest(['Apache License', 'MIT License', 'rights reserved', 'General Public License', 'cc', 'idiot']) AS x) WHERE length(x) > 3), g AS (SELECT doc_id, w[i] AS name FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w) UNION ALL SELECT doc_id, w[i] || ' ' || w[i + 1] FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM w) UNION ALL SELECT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)) SELECT doc_id AS entity_id, name, count(*) AS hits FROM g JOIN nm USING (name) GROUP BY ALL")

@@ -176,6 +176,13 @@ def test_search(spark):
     assert sorted(r.g for r in grams) == ["dog", "red", "red", "red dog", "red red", "red red dog"]
 
 
+def test_ngrams_of_documents(spark, tmp_path):
+    spark.createDataFrame([(1, "The red fox"), (2, "Red fox, red dog"), (3, None), (4, "the")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "red hen")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r.gram: r.n for r in derived.ngrams(spark, str(tmp_path)).collect()}
+    assert got == {"red": 3, "fox": 2, "dog": 1, "red fox": 2, "fox red": 1, "red dog": 1, "red fox red": 1, "fox red dog": 1}
+
+
 def test_exports(spark, core, tmp_path):
     edges = linking.shared_value_edges(core)
     nodes = spark.createDataFrame([(i, ["L"], f"n<{i}") for i in range(1, 5)], "entity_id long, labels array<string>, label string")
