@@ -180,10 +180,10 @@ def approval_years(spark: SparkSession, d: str) -> DataFrame:
 TOKENS_SQL = "tk AS (SELECT doc_id AS entity_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents)"
 
 
-@query(f"WITH {TOKENS_SQL} SELECT token, count(*) AS n, count(DISTINCT entity_id) AS docs FROM tk GROUP BY token HAVING count(DISTINCT entity_id) > 5")
+@query(f"WITH {TOKENS_SQL} SELECT token, count(*) AS n, count(DISTINCT entity_id) AS docs FROM tk GROUP BY token")
 def text_tokens(spark: SparkSession, d: str) -> DataFrame:
     idx = S.index(table(spark, d, "documents"), "doc_id", "text")
-    return idx.groupBy("token").agg(F.sum("freq").alias("n"), F.count(one).alias("docs")).filter("docs > 5")
+    return idx.groupBy("token").agg(F.sum("freq").alias("n"), F.count(one).alias("docs"))
 
 
 @query(f"WITH {TOKENS_SQL}, c AS (SELECT entity_id, token, count(*) AS f FROM tk WHERE token IN ('the', 'license', 'der', 'under') GROUP BY ALL) SELECT entity_id, round(sum(CASE WHEN token <> 'der' THEN 1 + ln(f) ELSE 0 END), 6) AS score FROM c GROUP BY entity_id HAVING count(*) FILTER (WHERE token IN ('license', 'under')) = 2 AND count(*) FILTER (WHERE token = 'der') = 0")

@@ -176,6 +176,11 @@ def test_search(spark):
     assert sorted(r.g for r in grams) == ["dog", "red", "red", "red dog", "red red", "red red dog"]
 
 
+def test_text_tokens_keeps_rare_ones(spark, tmp_path):
+    spark.createDataFrame([(i, "fox fox" if i else "Fox hen") for i in range(6)] + [(9, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {(r.token, r.n, r.docs) for r in derived.text_tokens(spark, str(tmp_path)).collect()} == {("fox", 11, 6), ("hen", 1, 1)}
+
+
 def test_ngrams_of_documents(spark, tmp_path):
     spark.createDataFrame([(1, "The red fox"), (2, "Red fox, red dog"), (3, None), (4, "the")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, "red hen")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
