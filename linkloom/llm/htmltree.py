@@ -11,7 +11,8 @@ labelled pages are generated (seeded) from common layouts, with and without tell
 parsed as any other page; ``train`` takes any labelled pages.
 
 Edge cases: null and empty html give an empty text; unclosed, misnested and cut-off markup is closed
-where a browser would; what never shows (script, style, head, template, comments) has no nodes; deep
+where a browser would; what never shows (script, style, title, comments; noscript and template that are
+closed) and closed controls have no nodes, an unclosed one hides nothing after it; deep
 trees are handled without recursion; repeated rows give repeated rows; an empty table gives no rows;
 other columns are ignored.
 """
@@ -36,7 +37,9 @@ MEASURED = 0.4
 
 # Fixed values of HTML: void elements, elements whose text never shows, blocks, and what closes an open <p>.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math object select button head".split())
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+# Left out with their end tag, if there is one; of the second kind only where no block comes before it.
+HIDDEN, CONTROLS = frozenset("noscript template".split()), frozenset("svg select button".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 CLOSES_ITSELF = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "p": ("p",)}
 SCOPES = frozenset("ul ol dl table body html article section div main".split())
@@ -57,6 +60,7 @@ HINTS = {
 HINT_OF = {w: k for k, words in HINTS.items() for w in words.split()}
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)""", re.S)
+NEXT = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW | HIDDEN} | {t: re.compile(rf"(</{t}\s*>)|</?(?:{'|'.join(BLOCKS)})(?=[\s/>])", re.I) for t in CONTROLS}
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -103,6 +107,7 @@ def parse(page: str) -> list[Node]:
         flush(True)
         stack.pop()
 
+    unclosed: set[str] = set()  # no end tag of these follows
     at, end = 0, len(page)
     while at < end:
         m = TOKEN.search(page, at)
@@ -116,13 +121,16 @@ def parse(page: str) -> list[Node]:
         if not tag:
             continue
         tag, closing, attributes = tag.lower(), bool(m[1] or m[4]), m[3] or ""
-        if tag in RAW:
+        if tag in NEXT:
             if not closing and not attributes.endswith("/"):
-                stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                if tag == "head" and not stop:
-                    stop = re.compile(r"(?=<body)", re.I).search(page, at)
-                at = stop.end() if stop else end
-                run.append((" ", links > 0))
+                stop = None if tag in unclosed else NEXT[tag].search(page, at)
+                if tag in RAW:
+                    at = stop.end() if stop else end
+                elif stop is None:
+                    unclosed.add(tag)
+                elif tag in HIDDEN or stop[1]:
+                    at = stop.end()
+            run.append((" ", links > 0))
         elif tag in BLOCKS:
             if closing:
                 where = next((i for i in range(len(stack) - 1, 0, -1) if nodes[stack[i]].tag == tag), None)

@@ -56,6 +56,17 @@ def test_html_held_out():
     assert right / found > 0.93 and right / wanted > 0.95
 
 
+@pytest.mark.parametrize("tag", "button select object math svg noscript template head".split())
+def test_html_unclosed_hides_nothing(tag):
+    text = lambda page: " ".join(n.text for n in htmltree.parse(page) if n.text)
+    assert "One two." in text(f"<html><{tag} class=x><div><article><p>One two.</p></article></div>")
+    if tag not in ("noscript", "template", "head"):
+        assert "One two." in text(f"<div><{tag}></div><article><p>One two.</p></article><{tag}>x</{tag}>")
+    shown = text(f"<article><p>One <{tag}>x</{tag}> two.</p></article>")
+    assert shown == ("One x two." if tag in ("object", "math", "head") else "One two.")
+    assert text(f"<{tag}><title>t</title><script>s</script></{tag}><p>One</p>") == "One"
+
+
 def test_html_marginals_are_exact():
     """Sum-product against the sum over all states of a small tree."""
     from itertools import product
