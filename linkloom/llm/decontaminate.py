@@ -2,7 +2,9 @@
 
 A seed is the hash of the words at the fixed positions of a mask; the words between are ignored, so a
 substituted word there does not break it.  The masks below hit every stretch of ``WINDOW`` words (and
-every item of 8 words or more) in which at least ``SHARE`` percent of the words agree.  Seeds of the test
+every item of 8 words or more) in which at least ``SHARE`` percent of the words agree; items of 5 to 7 words,
+which may have one other word, have masks of three words, and shorter ones, which may have none, their
+own length.  Seeds of the test
 items are joined with those of all documents; each hit names a diagonal (document word minus item word),
 and along it the words are compared one by one: a leak is a stretch of WINDOW words, or a whole shorter
 item, with the share of equal words.
@@ -31,8 +33,9 @@ from pyspark.sql import functions as F
 
 from linkloom.llm.common import mix, row_groups
 
-WINDOW, SHARE, LEAST = 13, 80, 5
+WINDOW, SHARE, LEAST = 13, 80, 2
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 3, 6, 7))
+SHORT_MASKS = ((0, 1, 2), (0, 1, 3))
 BLOCK_WORDS = 200_000
 #: Every ASCII byte that is no digit or letter separates words.
 WORDS = bytes(b if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -47,6 +50,10 @@ def needed(window: int, share: int = SHARE) -> int:
     return -(-share * window // 100)
 
 
+def masks_of(length: int) -> tuple[tuple[int, ...], ...]:
+    return MASKS if length >= 8 else SHORT_MASKS if length >= 5 else (tuple(range(length)),)
+
+
 def seeds(ids: np.ndarray, mask: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     """(place, hash) of the mask wherever all its words are known (not negative)."""
     n = len(ids) - mask[-1]
@@ -70,9 +77,11 @@ class Block:
         self.vocabulary: dict[bytes, int] = {}
         self.items = [(i, np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(t)], np.int32)) for i, t in items]
         self.items = [(i, w) for i, w in self.items if len(w) >= LEAST]
+        #: Masks of these items; documents are searched with no others.
+        self.masks = sorted({m for _, w in self.items for m in masks_of(len(w))})
         value, item, place = [], [], []
         for k, (_, words) in enumerate(self.items):
-            for mask in MASKS:
+            for mask in masks_of(len(words)):
                 at, v = seeds(words, mask)
                 value.append(v), item.append(np.full(len(at), k)), place.append(at)
         self.value = np.concatenate(value) if value else np.zeros(0, np.uint64)
@@ -83,7 +92,7 @@ class Block:
     def diagonals(self, ids: np.ndarray) -> np.ndarray:
         """Distinct (item, document place of the item's first word) that some seed hits."""
         out = []
-        for mask in MASKS:
+        for mask in self.masks:
             at, value = seeds(ids, mask)
             low, high = np.searchsorted(self.value, value, "left"), np.searchsorted(self.value, value, "right")
             times = high - low

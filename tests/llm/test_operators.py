@@ -276,6 +276,19 @@ def test_masks_hit_every_allowed_stretch():
                 assert any(not {p + o for o in m} & set(gone) for m in decontaminate.MASKS for p in range(window - m[-1]))
 
 
+def test_decontamination_of_short_items(spark):
+    rng = random.Random(12)
+    items = [(n, [f"w{n}x{j}" for j in range(n)]) for n in range(2, 8)]
+    docs, want = [], set()
+    for n, w in items:
+        for gone in [(), *((j,) for j in range(n)), (0, n - 1)]:
+            docs.append((len(docs), " ".join([H.prose(rng, 5), *("zz" if j in gone else x for j, x in enumerate(w)), H.prose(rng, 5)])))
+            if sum(j not in gone for j in range(n)) >= decontaminate.needed(n):
+                want.add((len(docs) - 1, n))
+    got = [(r.doc_id, r.item_id) for r in decontaminate.leaks(documents(spark, docs), spark.createDataFrame([(n, " ".join(w)) for n, w in items], "item_id long, text string")).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_decontamination_edges(spark, odd):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "one"), (4, "word word word word word word"), (4, "word word word word word word")], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(odd, items).collect()} == {(6, 4)}
