@@ -22,8 +22,8 @@ Frequent shingles (a prefix count above ``P / MOST_FREQUENT`` of P prefix shingl
 MOST_FREQUENT of them) are the only thing that is broadcast.
 
 Edge cases: null and empty texts have empty sets, link with nothing and are their own component; texts
-with fewer words than a shingle have one shingle; rows that share a doc_id share its component; a null
-doc_id is a value like others (component null if it is smallest); an empty table gives no rows; extra
+with fewer words than a shingle have one shingle; rows that share a doc_id share its component; rows
+without doc_id are nodes of their own (component null where no row of it has a doc_id); an empty table gives no rows; extra
 columns are ignored.  Shingles are compared by 64-bit hashes.
 """
 
@@ -44,7 +44,6 @@ WORDS, PERCENT = 4, 85
 FREQUENT, MOST_FREQUENT = 32, 1 << 18
 #: Bounds of a tile's side: sets, and shingles in all.
 TILE_SETS, TILE_SHINGLES = 64, 1 << 16
-NULL_ID = -(2**63)
 SIGNATURE = 1024
 
 
@@ -90,7 +89,8 @@ class Order:
 
 
 def source(documents: DataFrame) -> DataFrame:
-    return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.col("text"))
+    """(id, text); a row without doc_id is labelled by a hash of its text, so only equal texts share a label."""
+    return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit("no doc_id"), F.col("text"))).alias("id"), F.col("text"))
 
 
 def frequent_shingles(documents: DataFrame, k: int, percent: int) -> dict[int, int]:
@@ -367,12 +367,12 @@ def linked(documents: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tupl
 def components(documents: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     members, comp = linked(documents, k, percent)
-    back = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return (
-        members.join(comp, F.col("rep") == F.col("node"), "left")
-        .select(back("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("comp", "rep").alias("c"))
-        .select("doc_id", "n_shingles", back("c").alias("component_id"))
-    )
+    found = members.join(comp, F.col("rep") == F.col("node"), "left").select("id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("comp", "rep").alias("c"))
+    nameless = source(documents.filter(F.col("doc_id").cast("long").isNull())).select("id", F.lit(True).alias("nameless")).distinct()
+    if nameless.isEmpty():
+        return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("c").alias("component_id"))
+    named = written(found.join(nameless, "id", "left").select(F.when(F.col("nameless").isNull(), F.col("id")).alias("doc_id"), "n_shingles", "c"), "named")
+    return named.join(named.groupBy("c").agg(F.min("doc_id").alias("component_id")), "c").select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

@@ -159,6 +159,14 @@ def test_jaccard_edges(spark, odd):
     assert jaccard.components(H.empty(odd)).count() == 0 and jaccard.one_of_each(H.empty(odd)).count() == 0
 
 
+def test_jaccard_without_ids(spark):
+    """Rows without doc_id neither keep the copies of their group nor tie groups together."""
+    one, two = "a b c d e f g h i j", "k l m n o p q r s t"
+    docs = documents(spark, [(3, one), (5, one), (None, one), (7, two), (9, two), (None, two), (None, "u v w x y")])
+    assert sorted((r.doc_id or 0, r.component_id) for r in jaccard.components(docs).filter("component_id is not null").collect()) == [(0, 3), (0, 7), (3, 3), (5, 3), (7, 7), (9, 7)]
+    assert sorted(r.doc_id or 0 for r in jaccard.one_of_each(docs).collect()) == [0, 0, 0, 3, 7]
+
+
 # --- 4 ------------------------------------------------------------------------------------------------
 
 
