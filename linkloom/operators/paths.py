@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.storage import written
 
 
-def bfs_path(edges: DataFrame, start, goal, keys: list[str] | None = None, most: int = 20) -> DataFrame:
+def rounds(most: int | None) -> Iterable[int]:
+    """As many as the caller allows; without a bound a loop ends with its frontier."""
+    return count() if most is None else range(most)
+
+
+def bfs_path(edges: DataFrame, start, goal, keys: list[str] | None = None, most: int | None = None) -> DataFrame:
     """The first shortest path (array ``path``) from start to goal over edges of the keys, or no row.
 
     The frontier keeps one path per node, the least in order, so it never outgrows the nodes.
@@ -19,7 +27,7 @@ def bfs_path(edges: DataFrame, start, goal, keys: list[str] | None = None, most:
     spark = edges.sparkSession
     front = spark.range(1).select(F.lit(start).cast(kind).alias("node"), F.array(F.lit(start).cast(kind)).alias("path"))
     seen = front
-    for _ in range(most):
+    for _ in rounds(most):
         hit = seen.filter(F.col("node") == F.lit(goal))
         if not hit.isEmpty():
             return hit.select("path")
@@ -31,12 +39,12 @@ def bfs_path(edges: DataFrame, start, goal, keys: list[str] | None = None, most:
     return seen.filter(F.col("node") == F.lit(goal)).select("path")
 
 
-def ancestor_paths(parents: DataFrame, most: int = 20) -> DataFrame:
+def ancestor_paths(parents: DataFrame, most: int | None = None) -> DataFrame:
     """(start, path): maximal simple paths along (child, parent) from every child; a node met before ends a path."""
     here = written(parents.select("child", "parent").distinct(), "parents")
     open_ = here.select(F.col("child").alias("start"), F.array("child", "parent").alias("path"))
     done = None
-    for _ in range(most):
+    for _ in rounds(most):
         last = F.element_at("path", -1)
         grown = open_.join(here, last == F.col("child"), "left").withColumn("ok", F.col("parent").isNotNull() & ~F.array_contains("path", F.col("parent")))
         grown = written(grown, "paths")
@@ -48,12 +56,12 @@ def ancestor_paths(parents: DataFrame, most: int = 20) -> DataFrame:
     return done.unionByName(open_)
 
 
-def depths(parents: DataFrame, root: DataFrame, most: int = 50) -> DataFrame:
+def depths(parents: DataFrame, root: DataFrame, most: int | None = None) -> DataFrame:
     """(node, depth) below the roots; the least depth where paths differ."""
     here = written(parents.select("child", "parent").distinct(), "parents")
     out = root.select(F.col("node"), F.lit(0).alias("depth"))
     front = out
-    for d in range(1, most):
+    for d in count(1) if most is None else range(1, most):
         step = front.join(here, F.col("node") == F.col("parent")).select(F.col("child").alias("node")).distinct().join(out.select("node"), "node", "left_anti")
         front = written(step.withColumn("depth", F.lit(d)), "front")
         if front.isEmpty():

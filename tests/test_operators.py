@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from linkloom import model
 from linkloom.functions import keys as K
-from linkloom.operators import cliques, components, curate, events, linking, neighborhood, paths, resolve, search
+from linkloom.operators import cliques, components, curate, editing, events, linking, neighborhood, paths, resolve, search
 from linkloom.plans import derived
 from linkloom.sources import formats, loaders, sinks
 from linkloom.streaming import ingest
@@ -127,6 +127,19 @@ def test_long_chain_and_empty(spark):
     assert components.incidence_components(spark.createDataFrame([], "entity_id long, key string, value string")).count() == 0
 
 
+def test_long_ways_are_walked_to_their_end(spark):
+    links = lambda n: spark.range(n).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit("PRODRUG").alias("type"), F.lit("k").alias("key")).coalesce(1)
+    labels = {r.entity_id: r.label for r in editing.member_labels(links(12), 0, spark.range(13).withColumnRenamed("id", "entity_id")).collect()}
+    assert labels[12] == " ".join(["Prodrug"] * 12)
+    assert paths.bfs_path(links(22), 0, 22).first()[0] == list(range(23))
+    up = links(22).select(F.col("src").alias("child"), F.col("dst").alias("parent"))
+    assert {len(r.path) for r in paths.ancestor_paths(up).filter("start = 0").collect()} == {23}
+    seeds = spark.createDataFrame([(0, "red")], "entity_id long, colour string")
+    assert editing.grown(links(22), seeds).filter("colour = 'red'").count() == 23
+    down = links(51).select(F.col("dst").alias("child"), F.col("src").alias("parent"))
+    assert [r.node for r in paths.leaves(down, spark.range(1).withColumnRenamed("id", "node")).collect()] == [51]
+
+
 def test_formats(spark, tmp_path):
     (tmp_path / "a.tsv").write_text('id\tname\n1\tx|y\n3\tz\tw\n4\t\n')
     assert [(r.id, r.name) for r in formats.table_records(spark, str(tmp_path / "a.tsv")).collect()] == [(["1"], ["x", "y"]), (["4"], None)]
