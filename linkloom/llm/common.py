@@ -6,21 +6,57 @@ Words are maximal runs of bytes other than space and \\t..\\r, so ``bytes.split`
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Text bytes that one vectorised step handles at once; a longer text is a step of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 18
+#: Bytes of an Arrow batch that goes to a Python worker.
+BATCH_BYTES = 4 << 20
+
+Batches = Iterator[pa.RecordBatch]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Returns what a worker's allocators hold to the system: workers live on from stage to stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def mapped(df: DataFrame, run: Callable[[Batches], Batches], schema: str | StructType) -> DataFrame:
+    """mapInArrow with batches of bounded bytes, however long the texts are, and workers left small.
+
+    The bound is the session's ``spark.sql.execution.arrow.maxBytesPerBatch`` if that is below BATCH_BYTES.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    bound = conf.get(name).rstrip("bB")
+    if not (bound.isdigit() and int(bound) <= BATCH_BYTES):
+        conf.set(name, str(BATCH_BYTES))
+
+    def tidy(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(tidy, schema)
+
+
 def byte_texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 bytes of each text without decoding them; null gives b''."""
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
@@ -80,24 +116,49 @@ class Powers:
         return self.up, self.down
 
 
+#: Words up to so many bytes are hashed eight bytes at a time, all together; longer ones one by one.
+SHORT = 64
+
+
+def word_mix(data: bytes, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words at these places; eight bytes must follow the last of them.
+
+    Each eight bytes are added and mixed by a bijection, so words of up to eight bytes and equal length
+    never clash, and no structure of longer ones makes them clash.
+    """
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    eights = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    out = mix(size.astype(np.uint64))
+    at, left, which = start, size, slice(None)
+    while len(at):
+        mask = np.uint64(2**64 - 1) >> (np.uint64(8) * (8 - np.minimum(left, 8)).astype(np.uint64))
+        out[which] = mix(out[which] + (eights[at] & mask))
+        more = np.flatnonzero((left > 8) & (left <= SHORT if isinstance(which, slice) else True))
+        which = more if isinstance(which, slice) else which[more]
+        at, left = at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > SHORT).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : start[i] + size[i]])
+    return out
+
+
 class ShingleSets:
-    """Sets of k-word shingles of many texts at once: words are hashed by prefix sums over the bytes."""
+    """Sets of k-word shingles of many texts at once."""
 
     def __init__(self, k: int):
-        self.k, self.powers = k, Powers(BASES[0])
+        self.k = k
         self.space = np.zeros(256, bool)
         self.space[[32, *range(9, 14)]] = True
 
     def word_hashes(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the words of all texts, lower-cased, and the number of words before each text."""
-        data = np.frombuffer(b" ".join([*texts, b""]).lower(), np.uint8)
+        joined = b" ".join([*texts, b" " * 8]).lower()
+        data = np.frombuffer(joined, np.uint8)
         ends = np.cumsum([len(t) + 1 for t in texts])
         inside = np.concatenate(([False], ~self.space[data], [False]))
         edges = np.flatnonzero(inside[1:] != inside[:-1])
-        start, stop = edges[::2], edges[1::2]
-        up, down = self.powers.upto(len(data) + 1)
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data + np.uint64(1)) * up[: len(data)], dtype=np.uint64)))
-        hashes = mix((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64))
+        start, size = edges[::2], edges[1::2] - edges[::2]
+        hashes = word_mix(joined, start, size)
         return hashes, np.concatenate(([0], np.searchsorted(start, ends)))
 
     def of(self, texts: list[bytes]) -> list[np.ndarray]:
@@ -126,9 +187,9 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def row_groups(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES, text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def row_groups(batches: Batches, limit: int = CHUNK_BYTES, text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches whose texts hold about ``limit`` bytes, with those texts."""
     for batch in batches:
-        texts = byte_texts(batch.column(batch.schema.get_field_index(text)))
-        for a, b in spans([len(t) for t in texts], limit):
-            yield batch.slice(a, b - a), texts[a:b]
+        column = batch.column(batch.schema.get_field_index(text))
+        for a, b in spans(pc.fill_null(pc.binary_length(column), 0).to_pylist(), limit):
+            yield batch.slice(a, b - a), byte_texts(column.slice(a, b - a))

@@ -9,26 +9,32 @@ in their prefix hold every link.  A list is cut into blocks by set size and posi
 shingle's positions, cannot give the overlap.
 
 Answer level.  A set is answered with the sets most like it: each set is given to the leader that it
-meets in most lists, a leader's sets are cut into bounded tiles, and a tile, with its leader, is joined
-exactly.  A component that arises answers for all its members: further tiles of two blocks are made
-only where the blocks hold different components, so a large group of near copies costs its size, not
-its square.  Within a tile, pairs already joined are skipped.
+meets in most lists, and a leader's sets are cut into bounded tiles.  In a tile only the leader is compared
+in full; a member is held as its difference from the leader (what it lacks, what it adds), and the overlap
+of two members follows from the leader's answers, corrected by the differences (``overlaps``).  A component
+that arises answers for all its members: further tiles of two blocks are made only where the blocks hold
+different components, so a large group of near copies costs its size, not its square.
 
-Every set also has a signature of SIGNATURE bits, the parity of its shingles in each: two signatures
-differ in at most as many bits as the sets in shingles, so pairs whose signatures differ too much are
-skipped before any text is moved.  No pair that links is lost by it.
+Every set also has a signature, the parity of its shingles in each of 2 to 4 bits per shingle: two
+signatures differ in at most as many bits as the sets in shingles, so pairs whose signatures differ too
+much are skipped before any text is moved.  No pair that links is lost by it.
+
+Shingles are compared by 64-bit hashes that no structure of the words makes clash (``common.word_mix``);
+a link that joins two components is verified on the words themselves before it counts.
 
 Frequent shingles (a prefix count above ``P / MOST_FREQUENT`` of P prefix shingles, so fewer than
 MOST_FREQUENT of them) are the only thing that is broadcast.
 
 Edge cases: null and empty texts have empty sets, link with nothing and are their own component; texts
-with fewer words than a shingle have one shingle; rows that share a doc_id share its component; rows
-without doc_id are nodes of their own (component null where no row of it has a doc_id); an empty table gives no rows; extra
-columns are ignored.  Shingles are compared by 64-bit hashes.
+with fewer words than a shingle have one shingle; very long texts are whole sets like others (a tile holds
+two sets at least, however long); rows that share a doc_id share its component; rows without doc_id are
+nodes of their own (component null where no row of it has a doc_id); ties between leaders go to the smaller
+id; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import ShingleSets, byte_texts, mix, row_groups
+from linkloom.llm.common import ShingleSets, byte_texts, mapped, row_groups
 from linkloom.operators.components import connected_components
 from linkloom.storage import discard, written
 
@@ -44,7 +50,8 @@ WORDS, PERCENT = 4, 85
 FREQUENT, MOST_FREQUENT = 32, 1 << 18
 #: Bounds of a tile's side: sets, and shingles in all.
 TILE_SETS, TILE_SHINGLES = 64, 1 << 16
-SIGNATURE = 1024
+#: Least bits of a signature.
+SIGNATURE = 256
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -57,15 +64,38 @@ def links(common: int, n: int, m: int, percent: int) -> bool:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """Parity bits of the shingles, as 64-bit words."""
-    odd = np.bincount((shingles & np.uint64(SIGNATURE - 1)).astype(np.int64), minlength=SIGNATURE) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+    """Parity bits of the shingles, 2 to 4 for each, as 64-bit words."""
+    bits = max(SIGNATURE, 1 << (2 * len(shingles) - 1).bit_length()) if len(shingles) else SIGNATURE
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def folded(sign: np.ndarray, words: int) -> np.ndarray:
+    """The same set's signature of fewer bits."""
+    return sign if len(sign) == words else np.bitwise_xor.reduce(sign.reshape(-1, words), axis=0)
+
 
+def may_link(bits: np.ndarray, total: np.ndarray, percent: int) -> np.ndarray:
+    """Can sets of ``total`` shingles together link if their signatures differ in so many bits?"""
+    return bits * (100 + percent) <= total * (100 - percent)
 
-def may_link(a: str, b: str, n: str, m: str, percent: int):
-    """Can sets with these signatures and sizes link?"""
-    bits = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    return bits * (100 + percent) <= (F.col(n) + F.col(m)) * (100 - percent)
+
+def led_sets(rows: DataFrame, percent: int) -> DataFrame:
+    """(id, n, leader, meets) from (id, n, leader, m, sign, lead_sign): may a set link with its leader?"""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = batch.column(4), batch.column(5)
+            bits = np.zeros(batch.num_rows, np.int64)
+            for r in range(batch.num_rows):
+                x, y = one[r].values.to_numpy(False), two[r].values.to_numpy(False)
+                w = min(len(x), len(y))
+                bits[r] = np.bitwise_count((folded(x, w) ^ folded(y, w)).view(np.uint64)).sum(dtype=np.int64)
+            i, n, leader, m = (batch.column(c).to_numpy(False).astype(np.int64) for c in range(4))
+            meets = (i != leader) & may_link(bits, n + m, percent)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(meets)], names=["id", "n", "leader", "meets"])
+
+    return mapped(rows.select("id", "n", "leader", "m", "sign", "lead_sign"), run, "id long, n int, leader long, meets boolean")
 
 
 class Order:
@@ -102,7 +132,7 @@ def frequent_shingles(documents: DataFrame, k: int, percent: int) -> dict[int, i
             parts = [s[: prefix_size(len(s), percent)] for s in sets.of(texts)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).astype(np.uint64).view(np.int64))], names=["v"])
 
-    counts = written(documents.select("text").mapInArrow(run, "v long").groupBy("v").count().filter(F.col("count") > 1), "counts")
+    counts = written(mapped(documents.select("text"), run, "v long").groupBy("v").count().filter(F.col("count") > 1), "counts")
     total = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
     least = max(FREQUENT, total // MOST_FREQUENT)
     found = counts.filter(F.col("count") > least).collect()
@@ -119,16 +149,16 @@ def prefixes(documents: DataFrame, frequent: dict[int, int], k: int, percent: in
             n, digests, parts, signs = [], [], [], []
             for s in sets.of(texts):
                 n.append(len(s))
-                digests.append((int(mix(s).sum()) if len(s) else 0, int(mix(s ^ np.uint64(0xA5A5A5A5DEADBEEF)).sum()) if len(s) else 0))
+                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 parts.append(order.prefix(s, prefix_size(len(s), percent)))
                 signs.append(signature(s))
-            d = np.array(digests, np.uint64).reshape(-1, 2).view(np.int64)
+            d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             offsets = pa.array(np.cumsum([0, *map(len, parts)]), pa.int32())
             lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(parts).astype(np.uint64).view(np.int64)))
-            words = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * (SIGNATURE // 64), pa.int32()), pa.array(np.concatenate(signs)))
+            words = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, signs)]), pa.int32()), pa.array(np.concatenate(signs)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(d[:, 0]), pa.array(d[:, 1]), lists, words], names=["id", "n", "d1", "d2", "prefix", "sign"])
 
-    return source(documents).mapInArrow(run, "id long, n int, d1 long, d2 long, prefix array<long>, sign array<long>")
+    return mapped(source(documents), run, "id long, n int, d1 long, d2 long, prefix array<long>, sign array<long>")
 
 
 def lists(classes: DataFrame, percent: int) -> DataFrame:
@@ -170,43 +200,65 @@ def lists(classes: DataFrame, percent: int) -> DataFrame:
             if keep.any():
                 yield emit(rows[:, keep], led[keep])
 
-    return entries.select("v", "n", "id", "pos").mapInArrow(run, "v long, id long, n int, pos int, leader long")
+    return mapped(entries.select("v", "n", "id", "pos"), run, "v long, id long, n int, pos int, leader long")
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """|x & y| of all pairs, derived from the first set's answers.
+
+    With R the first set, each other one is what it lacks of R and what it adds, and two of them share
+    |R| less what either lacks, plus what both lack and what both add.
+    """
+    lead, lacks, adds = sets[0], [], []
+    for s in sets:
+        at = np.minimum(np.searchsorted(lead, s), max(len(lead) - 1, 0))
+        same = lead[at] == s if len(lead) else np.zeros(len(s), bool)
+        missing = np.ones(len(lead), bool)
+        missing[at[same]] = False
+        lacks.append(np.flatnonzero(missing))
+        adds.append(s[~same])
+    n_lacks = np.array([len(x) for x in lacks])
+    out = len(lead) - n_lacks[:, None] - n_lacks[None, :]
+    for parts in (lacks, adds):
+        _, inverse, counts = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        shared = counts[inverse] > 1  # what one set alone lacks or adds is in no overlap
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in parts])[shared]
+        column = (np.cumsum(counts > 1) - 1)[inverse[shared]]
+        width = int(column.max()) + 1 if len(column) else 0
+        for a in range(0, width, 1 << 14):  # a strip of shingles at a time
+            inside = (column >= a) & (column < a + (1 << 14))
+            matrix = np.zeros((len(sets), min(width - a, 1 << 14)), np.float32)
+            matrix[row[inside], column[inside] - a] = 1
+            out += (matrix @ matrix.T).astype(np.int64)
+    return out
 
 
-def join_tile(sets: list[np.ndarray], side: np.ndarray, comp: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def word_sets(text: bytes, k: int) -> set[tuple[bytes, ...]]:
+    w = text.lower().split()
+    return set(zip(*[w[j:] for j in range(k)])) if len(w) >= k else {tuple(w)} if w else set()
+
+
+def join_tile(sets: list[np.ndarray], texts: list[bytes], side: np.ndarray, comp: np.ndarray, k: int, percent: int) -> list[tuple[int, int]]:
     """(component, least component) of those that the tile's links connect; side: 1 and 2 are joined with each other, 0 with all, 3 among themselves."""
-    order = np.argsort([len(s) for s in sets], kind="stable").tolist()
     parent = {int(c): int(c) for c in comp}
+    exact: dict[int, set[tuple[bytes, ...]]] = {}
 
     def root(c: int) -> int:
         while parent[c] != c:
             parent[c] = c = parent[parent[c]]
         return c
 
-    n = [len(s) for s in sets]
-    overlap = None
-    if len(sets) > 6:
-        values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        shared = counts[inverse] > 1
-        row = np.repeat(np.arange(len(sets)), n)[shared]
-        column = (np.cumsum(counts > 1) - 1)[inverse[shared]]
-        overlap = np.zeros((len(sets), len(sets)), np.int64)
-        width = int(column.max()) + 1 if len(column) else 0
-        for a in range(0, width, 1 << 15):  # a strip of shingles at a time
-            inside = (column >= a) & (column < a + (1 << 15))
-            matrix = np.zeros((len(sets), min(width - a, 1 << 15)), np.float32)
-            matrix[row[inside], column[inside] - a] = 1
-            overlap += (matrix @ matrix.T).astype(np.int64)
-    for x, i in enumerate(order):
-        for j in order[x + 1 :]:
-            if percent * n[j] > 100 * n[i]:
-                break
-            if (side[i] == side[j] and side[i] in (1, 2)) or root(int(comp[i])) == root(int(comp[j])):
-                continue
-            both = int(overlap[i, j]) if overlap is not None else len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if links(both, n[i], n[j], percent):
-                a, b = root(int(comp[i])), root(int(comp[j]))
-                parent[max(a, b)] = min(a, b)
+    n = np.array([len(s) for s in sets], np.int64)
+    both = overlaps(sets)
+    apart = (side[:, None] == side[None, :]) & np.isin(side, (1, 2))[:, None]
+    fit = links(both, n[:, None], n[None, :], percent) & ~apart & (comp[:, None] != comp[None, :]) & (n > 0)[:, None] & (n > 0)[None, :]
+    for i, j in np.argwhere(np.triu(fit, 1)).tolist():
+        a, b = root(int(comp[i])), root(int(comp[j]))
+        if a == b:
+            continue
+        x, y = (exact[t] if t in exact else exact.setdefault(t, word_sets(texts[t], k)) for t in (i, j))
+        if links(len(x & y), len(x), len(y), percent):
+            parent[max(a, b)] = min(a, b)
     return [(c, root(c)) for c in parent if root(c) != c]
 
 
@@ -214,28 +266,28 @@ MEMBER = "struct<id:long,comp:long,text:string>"
 
 
 def tile_links(tiles: DataFrame, k: int, percent: int) -> DataFrame:
-    """(src, dst) from rows of three lists of members: joined with all, with the third, with the second."""
+    """(src, dst) from rows of lists of members: two lists, a head and what is joined with it and among itself; three, the last two with each other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = ShingleSets(k)
         for batch in batches:
             for r in range(batch.num_rows):
-                comps, sets, side = [], [], []
+                comps, texts, side = [], [], []
                 for which in range(batch.num_columns):
                     members = batch.column(which)[r].values
                     if members is None:
                         continue
                     comps += members.field("comp").to_pylist()
-                    sets += make.of(byte_texts(members.field("text")))
+                    texts += byte_texts(members.field("text"))
                     side += [which] * len(members)
                 if batch.num_columns == 2:
                     side = [3 if s else 0 for s in side]
-                found = join_tile(sets, np.array(side), np.array(comps), percent)
+                found = join_tile(make.of(texts), texts, np.array(side), np.array(comps), k, percent)
                 if found:
                     a, b = zip(*found)
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["src", "dst"])
 
-    return tiles.mapInArrow(run, "src long, dst long")
+    return mapped(tiles, run, "src long, dst long")
 
 
 def chunked(members: DataFrame, keys: list[str]) -> DataFrame:
@@ -246,46 +298,42 @@ def chunked(members: DataFrame, keys: list[str]) -> DataFrame:
 
 def pairs_of_blocks(entries: DataFrame, percent: int) -> DataFrame:
     """(b1, b2): blocks that meet in a list, hold different components, and pass the bounds there."""
-    blocks = entries.groupBy("v", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("pos").alias("pos"), F.max("n_behind").alias("behind"), F.max("pos").alias("last"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
+    blocks = entries.groupBy("v", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("n_behind").alias("behind"), F.max("pos").alias("last"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
     several = blocks.groupBy("v").agg(F.count(F.lit(1)).alias("_m"), F.min("c1").alias("_a"), F.max("c2").alias("_b")).filter("_m > 1 and _a <> _b").select("v")
     blocks = blocks.join(several, "v").repartition("v").sortWithinPartitions("v", "least", "block")
 
-    def solve(g: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        _, block, least, most, _, behind, last, c1, c2 = g
+    def solve(rows: list[np.ndarray], old: int) -> pa.RecordBatch:
+        """Pairs in all lists at once, by growing distance in the list; those of two of the first ``old`` rows are known."""
+        v, block, least, most, behind, last, c1, c2 = rows
         out1, out2 = [], []
-        for i in range(len(block) - 1):
-            end = int(np.searchsorted(least, most[i] * 100 // percent, side="right"))
-            j = np.arange(i + 1, max(end, i + 1))
+        i, step = np.arange(len(v)), 0
+        while len(i):
+            step += 1
+            i = i[i + step < len(v)]
+            j = i + step
+            near = (v[i] == v[j]) & (percent * least[j] <= 100 * most[i])  # the list is sorted by ``least``
+            i, j = i[near], j[near]
             # overlap at most: words before the shingle on both sides, itself, and those behind it
             bound = np.minimum(last[i], last[j]) + 1 + np.minimum(behind[i], behind[j])
-            needed = -(-percent * (least[i] + least[j]) // (100 + percent))
-            j = j[(bound >= needed) & ~((c1[i] == c2[i]) & (c1[j] == c2[j]) & (c1[i] == c1[j]))]
-            out1.append(np.minimum(block[i], block[j]))
-            out2.append(np.maximum(block[i], block[j]))
-        return np.concatenate(out1), np.concatenate(out2)
+            one = (c1[i] == c2[i]) & (c1[j] == c2[j]) & (c1[i] == c1[j])
+            fit = (bound * (100 + percent) >= percent * (least[i] + least[j])) & ~one & (j >= old)
+            out1.append(np.minimum(block[i[fit]], block[j[fit]]))
+            out2.append(np.maximum(block[i[fit]], block[j[fit]]))
+        one, two = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out1, out2))
+        return pa.RecordBatch.from_arrays([pa.array(one), pa.array(two)], names=["b1", "b2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+        held = [np.zeros(0, np.int64)] * 8  # rows of the last list that later rows may still meet
         for batch in batches:
-            rows = [batch.column(i).to_numpy(False) for i in range(9)]
-            rows = rows if rest is None else [np.concatenate(x) for x in zip(rest, rows)]
-            cut = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0
-            yield from flush([x[:cut] for x in rows])
-            rest = [x[cut:] for x in rows]
-        if rest is not None:
-            yield from flush(rest)
-
-    def flush(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        v = rows[0]
-        if not len(v):
-            return
-        begin = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
-        for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(v)]):
-            one, two = solve([x[a:b] for x in rows])
-            if len(one):
-                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two)], names=["b1", "b2"])
-
-    return blocks.select("v", "block", "least", "most", "pos", "behind", "last", "c1", "c2").mapInArrow(run, "b1 long, b2 long").distinct()
+            if not batch.num_rows:
+                continue
+            new = [batch.column(i).to_numpy(False).astype(np.int64) for i in range(8)]
+            rows = [np.concatenate(x) for x in zip(held, new)]
+            yield solve(rows, len(held[0]))
+            keep = (rows[0] == rows[0][-1]) & (percent * rows[2][-1] <= 100 * rows[3])
+            held = [x[keep] for x in rows]
+
+    return mapped(blocks.select("v", "block", "least", "most", "behind", "last", "c1", "c2"), run, "b1 long, b2 long").distinct()
 
 
 def possible(pairs: DataFrame, percent: int) -> DataFrame:
@@ -293,24 +341,28 @@ def possible(pairs: DataFrame, percent: int) -> DataFrame:
 
     def side(column: pa.Array, r: int) -> tuple[np.ndarray, ...]:
         members = column[r].values
-        signs = members.field("sign").flatten().to_numpy(False).view(np.uint64).reshape(len(members), -1)
-        return members.field("id").to_numpy(False), members.field("n").to_numpy(False).astype(np.int64), members.field("comp").to_numpy(False), signs
+        signs = members.field("sign")
+        edges = signs.offsets.to_numpy(False)
+        flat = signs.values.to_numpy(False).view(np.uint64)
+        return members.field("id").to_numpy(False), members.field("n").to_numpy(False).astype(np.int64), members.field("comp").to_numpy(False), [flat[a:b] for a, b in zip(edges[:-1], edges[1:])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for r in range(batch.num_rows):
                 (i, n, c, x), (j, m, d, y) = side(batch.column(2), r), side(batch.column(3), r)
-                bits = np.bitwise_count(x[:, None, :] ^ y[None, :, :]).sum(axis=2, dtype=np.int64)
+                w = min(map(len, x + y))
+                x, y = (np.stack([folded(s, w) for s in z]) for z in (x, y))
+                bits = np.stack([np.bitwise_count(s ^ y).sum(axis=1, dtype=np.int64) for s in x])
                 sums = n[:, None] + m[None, :]
                 fit = percent * np.maximum(n[:, None], m[None, :]) <= 100 * np.minimum(n[:, None], m[None, :])
-                fit &= (bits * (100 + percent) <= sums * (100 - percent)) & (c[:, None] != d[None, :])
+                fit &= may_link(bits, sums, percent) & (c[:, None] != d[None, :])
                 if fit.any():
                     rows.append((batch.column(0)[r].as_py(), batch.column(1)[r].as_py(), i[fit.any(axis=1)].tolist(), j[fit.any(axis=0)].tolist()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())))], names=["b1", "b2", "i1", "i2"])
 
-    return pairs.select("b1", "b2", "s1", "s2").mapInArrow(run, "b1 long, b2 long, i1 array<long>, i2 array<long>")
+    return mapped(pairs.select("b1", "b2", "s1", "s2"), run, "b1 long, b2 long, i1 array<long>, i2 array<long>")
 
 
 def linked(documents: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -327,18 +379,22 @@ def linked(documents: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tupl
     signs = written(classes.select("id", "n", "sign").join(best.select("id").distinct(), "id", "left_semi"), "signs")
     discard(classes)
     led = best.join(signs.select("id", "sign"), "id").join(signs.select(F.col("id").alias("leader"), F.col("n").alias("m"), F.col("sign").alias("lead_sign")), "leader")
-    led = led.select("id", "n", "leader", ((F.col("id") != F.col("leader")) & may_link("sign", "lead_sign", "n", "m", percent)).alias("meets"))
-    lead = written(chunked(led, ["leader"]), "lead")
-    texts = written(source(documents).join(lead, "id"), "texts")
+    led = written(led_sets(led, percent), "led")
+    meeting = written(chunked(led.filter("meets"), ["leader"]).select("id", "leader", "chunk"), "meeting")
+    heads = meeting.select(F.col("leader").alias("id")).distinct()
+    texts = written(source(documents).join(meeting.select("id").union(heads).distinct(), "id"), "texts")
     own = F.struct("id", F.col("id").alias("comp"), "text")
-    first = texts.filter("meets").groupBy("leader", "chunk").agg(F.collect_list(own).alias("own"))
-    heads = texts.join(lead.filter("meets").select(F.col("leader").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("leader"), F.array(own).alias("head"))
+    first = texts.join(meeting, "id").groupBy("leader", "chunk").agg(F.collect_list(own).alias("own"))
+    heads = texts.join(heads, "id").select(F.col("id").alias("leader"), F.array(own).alias("head"))
     near = written(tile_links(first.join(heads, "leader").select("head", "own"), k, percent), "near")
+    discard(texts)
+    discard(meeting)
     comp = connected_components(near)
     # what is left: blocks with different components that meet in a list
-    placed = lead.select("id", "n", "leader").join(comp, F.col("id") == F.col("node"), "left").select("id", "n", "leader", F.coalesce("comp", "id").alias("comp"))
+    placed = led.select("id", "n", "leader").join(comp, F.col("id") == F.col("node"), "left").select("id", "n", "leader", F.coalesce("comp", "id").alias("comp"))
     heading = placed.select(F.col("id").alias("leader"), F.col("comp").alias("lead_comp"))
     placed = placed.join(heading, "leader", "left").withColumn("apart", ~F.col("comp").eqNullSafe(F.col("lead_comp"))).drop("lead_comp")
+    placed = written(placed, "by_leader")
     placed = written(chunked(placed, ["leader", "apart"]).withColumn("block", F.xxhash64("leader", "apart", "chunk")), "placed")
     meeting = entries.select("v", "id", "pos").join(placed.select("id", "block", "comp", "n"), "id").withColumn("n_behind", F.col("n") - F.col("pos") - 1)
     within = placed.groupBy("block").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select(F.col("block").alias("b1"), F.col("block").alias("b2"))
@@ -350,7 +406,9 @@ def linked(documents: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tupl
     discard(seen)
     needed = pairs.select(F.col("b1").alias("block"), F.explode("i1").alias("id")).union(pairs.select("b2", F.explode("i2"))).distinct()
     member = F.struct("id", "comp", "text")
-    blocks = written(placed.join(needed, ["block", "id"], "left_semi").join(texts.select("id", "text"), "id").groupBy("block").agg(F.collect_list(member).alias("m")), "blocks")
+    wanted = written(placed.join(needed, ["block", "id"], "left_semi").select("id", "block", "comp"), "wanted")
+    texts = written(source(documents).join(wanted.select("id").distinct(), "id"), "texts")
+    blocks = written(wanted.join(texts, "id").groupBy("block").agg(F.collect_list(member).alias("m")), "blocks")
     discard(texts)
     nobody = F.expr(f"cast(array() as array<{MEMBER}>)")
     crossed = pairs.filter("b1 <> b2").join(either(blocks, "m", 1), "b1").join(either(blocks, "m", 2), "b2")
