@@ -11,10 +11,10 @@ labelled pages are generated (seeded) from common layouts, with and without tell
 parsed as any other page; ``train`` takes any labelled pages.
 
 Edge cases: null and empty html give an empty text; unclosed, misnested and cut-off markup is closed
-where a browser would; what never shows (script, style, title, comments; noscript and template that are
-closed) and closed controls have no nodes, an unclosed one hides nothing after it; deep
-trees are handled without recursion; repeated rows give repeated rows; an empty table gives no rows;
-other columns are ignored.
+where a browser would; what never shows (script, style, title, comments; a template that is closed) and
+closed controls have no nodes, an unclosed one hides nothing after it; deep trees are handled without
+recursion, and very long pages are read whole in one pass; a node whose content and boilerplate are equally
+likely is kept; repeated rows give repeated rows; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,13 +23,15 @@ import html
 import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from linkloom.llm.common import mapped
+
 STATES = ("outer", "content", "boilerplate")
 PAGES, SEED = 500, 7
 #: Weight of length and sentences: they depend on each other, so each counts for less than a whole feature.
@@ -39,7 +41,7 @@ MEASURED = 0.4
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
 # Left out with their end tag, if there is one; of the second kind only where no block comes before it.
-HIDDEN, CONTROLS = frozenset("noscript template".split()), frozenset("svg select button".split())
+HIDDEN, CONTROLS = frozenset(["template"]), frozenset("svg select button".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 CLOSES_ITSELF = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "p": ("p",)}
 SCOPES = frozenset("ul ol dl table body html article section div main".split())
@@ -79,6 +81,7 @@ def parse(page: str) -> list[Node]:
     """Block nodes in page order, parents first; a text beside blocks is a node of its own (#text)."""
     nodes = [Node("#root", -1)]
     stack = [0]  # open block nodes
+    opened: Counter[str] = Counter()  # their tags
     run: list[tuple[str, bool]] = []
     links = 0
 
@@ -99,13 +102,9 @@ def parse(page: str) -> list[Node]:
             node.sentences = len(re.findall(r"[.!?](?:\s|$)", text))
         run = []
 
-    def close(down_to: int) -> None:
-        flush(True)
-        del stack[down_to + 1 :]
-
     def close_one() -> None:
         flush(True)
-        stack.pop()
+        opened[nodes[stack.pop()].tag] -= 1
 
     unclosed: set[str] = set()  # no end tag of these follows
     at, end = 0, len(page)
@@ -133,14 +132,14 @@ def parse(page: str) -> list[Node]:
             run.append((" ", links > 0))
         elif tag in BLOCKS:
             if closing:
-                where = next((i for i in range(len(stack) - 1, 0, -1) if nodes[stack[i]].tag == tag), None)
-                if where is not None:
-                    while len(stack) > where:
-                        close_one()
-                else:
+                if not opened[tag]:
                     run.append((" ", links > 0))
+                    continue
+                while nodes[stack[-1]].tag != tag:
+                    close_one()
+                close_one()
                 continue
-            for own in CLOSES_ITSELF.get(tag, ()) if tag != "p" else ():
+            for own in (x for x in CLOSES_ITSELF.get(tag, ()) if tag != "p" and opened[x]):
                 for i in range(len(stack) - 1, 0, -1):
                     if nodes[stack[i]].tag == own:
                         while len(stack) > i:
@@ -158,6 +157,7 @@ def parse(page: str) -> list[Node]:
             nodes.append(Node(tag, stack[-1], attributes))
             if not attributes.endswith("/"):
                 stack.append(len(nodes) - 1)
+                opened[tag] += 1
         elif tag == "br" or tag == "img":
             run.append((" ", links > 0))
         elif tag == "a":
@@ -198,9 +198,7 @@ def features(nodes: list[Node]) -> list[list[str]]:
             hidden |= bool(re.search(r"\bhidden\b(?!=)|aria-hidden=.?true", n.attributes))
         other = [x for x in names if x != "content"]
         found = [f"tag={n.tag}", f"hint={other[0] if other else 'content' if names else '-'}", f"length={bucket(letters[i], 1, 25, 80, 200, 1000)}",
-                 f"links={bucket(linked[i] / max(1, letters[i]), 0.05, 0.3, 0.6)}", f"sentences={bucket(sentences[i], 1, 2, 5)}"]
-        if hidden:
-            found.append("hidden")
+                 f"links={bucket(linked[i] / max(1, letters[i]), 0.05, 0.3, 0.6)}", f"sentences={bucket(sentences[i], 1, 2, 5)}", f"hidden={int(hidden)}"]
         out.append(found)
     return out
 
@@ -228,9 +226,6 @@ class Model:
     def potentials(self, found: list[str]) -> list[float]:
         logs = [0.0] * 3
         for f in found:
-            if f == "hidden":
-                logs = [logs[0] - 6, logs[1] - 9, logs[2]]
-                continue
             row = self.node.get(f) or self.unseen[f.split("=")[0]]
             w = MEASURED if f[0] in "ls" and f[:3] != "lin" else 1.0
             logs = [a + w * b for a, b in zip(logs, row)]
@@ -284,8 +279,11 @@ def labelled_page(rng: random.Random) -> str:
 
     def element(tag: str, y: str, body: str, name: str = "") -> str:
         attribute = "" if not name or bare else f' {rng.choice(["class", "class", "id"])}="{name}"'
+        if y == "boilerplate" and shade.random() < 0.04:  # what a page holds but does not show
+            attribute += shade.choice([" hidden", ' style="display:none"', ' aria-hidden="true"'])
         return f'<{tag}{attribute} data-y="{y}">{body}</{tag}>'
 
+    shade = random.Random(rng.getstate()[1][0])  # draws of its own
     bare = rng.random() < 0.3  # no telling names
     plain = rng.random() < 0.3  # no telling tags
     tag = lambda t: "div" if plain and not bare else t
@@ -389,4 +387,4 @@ def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
 
     kept = pages.select("page_id", "url", "html")
     schema = f"page_id {kept.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long"
-    return kept.mapInArrow(run, schema)
+    return mapped(kept, run, schema)
