@@ -1,52 +1,94 @@
-"""Connected components by minimum labels, over pairs or over an incidence table."""
+"""Connected components by contraction, over pairs or over an incidence table."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.storage import discard, written
 
+#: A contracted graph of so many edges is finished in one task (some ten megabytes).
+FEW_EDGES = 1 << 18
+
+
+def finished(edges: DataFrame) -> DataFrame:
+    """(old, new): each node of a graph of few edges and the least node that it reaches, in one task."""
+    kind = edges.schema["src"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict = {}
+
+        def root(x):
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent[up]
+            return x
+
+        types = None
+        for batch in batches:
+            types = batch.schema.field(0).type
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                a, b = root(a), root(b)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+        if parent:
+            yield pa.RecordBatch.from_arrays([pa.array(parent, types), pa.array([root(x) for x in parent], types)], names=["old", "new"])
 
-def connected_components(edges: DataFrame) -> DataFrame:
+    return edges.select("src", "dst").coalesce(1).mapInArrow(run, f"old {kind}, new {kind}")
+
+
+def renamed(rows: DataFrame, names: DataFrame, *columns: str) -> DataFrame:
+    """Columns that hold an ``old`` name get the ``new`` one."""
+    for c in columns:
+        rows = rows.join(names.select(F.col("old").alias(c), F.col("new").alias("_new")), c, "left").withColumn(c, F.coalesce("_new", c)).drop("_new")
+    return rows
+
+
+def connected_components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     """(node, comp) of every node of ``edges(src, dst)``; comp is the smallest node it reaches.
 
-    Each round takes the least label of the neighbours and then the label of that label, which halves
-    long paths.  Rounds end in written tables, so lineage and lost executors do not add up.  A self
-    loop makes a component of one; nulls are left out.
+    Each round, every node takes its least neighbour's name and then that one's, and the edges are renamed,
+    so the graph shrinks from round to round; when few edges are left, one task finishes.  The smallest node
+    of a component never changes its name.  Rounds end in written tables, so lineage and lost executors do
+    not add up.  A self loop makes a component of one; nulls are left out.
     """
-    both = edges.select("src", "dst").union(edges.select(F.col("dst"), F.col("src"))).dropna().distinct()
-    both = written(both, "edges")
-    labels = written(both.groupBy(F.col("src").alias("node")).agg(F.least("node", F.min("dst")).alias("comp")), "labels")
+    least, most = F.least("src", "dst"), F.greatest("src", "dst")
+    e = written(edges.select(least.alias("src"), most.alias("dst"), F.col("src").isNull() | F.col("dst").isNull()).toDF("src", "dst", "gap").filter("not gap").select("src", "dst").distinct(), "edges")
+    labels = written(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().withColumn("comp", F.col("node")), "labels")
     while True:
-        near = both.join(labels, F.col("dst") == F.col("node")).groupBy("src").agg(F.min("comp").alias("seen"))
-        step = labels.join(near, F.col("node") == F.col("src")).select("node", F.col("comp").alias("old"), F.least("comp", "seen").alias("comp"))
-        jump = labels.select(F.col("node").alias("_n"), F.col("comp").alias("_c"))
-        fresh = written(step.join(jump, F.col("comp") == F.col("_n"), "left").select("node", "old", F.least("comp", F.coalesce("_c", "comp")).alias("comp")), "labels")
-        moved = not fresh.filter("old <> comp").isEmpty()
+        small = e.count() <= few
+        if small:
+            names = finished(e)
+        else:
+            both = e.union(e.select("dst", "src").toDF("src", "dst"))
+            names = written(both.groupBy(F.col("src").alias("old")).agg(F.least("old", F.min("dst")).alias("new")), "names")
+            names = written(renamed(names, names, "new"), "names")
+        fresh = written(renamed(labels, names, "comp").select("node", "comp"), "labels")
         discard(labels)
-        labels = fresh.select("node", "comp")
-        if not moved:
-            discard(both)
+        labels = fresh
+        if small:
+            discard(e)
             return labels
+        left = written(renamed(e, names, "src", "dst").filter("src <> dst").select(least.alias("src"), most.alias("dst")).distinct(), "edges")
+        discard(e)
+        e = left
 
 
-def incidence_components(inc: DataFrame) -> DataFrame:
+def incidence_components(inc: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     """(entity_id, comp) over an incidence table (entity_id, key, value): sharing a value links.
 
-    Values are never expanded into pairs: a round is one aggregate by value and one by entity.
+    Values are never expanded into pairs: a value's entities make a star around the least of them.
     """
     inc = written(inc.select("entity_id", "key", "value").distinct(), "incidence")
-    labels = inc.select("entity_id", F.col("entity_id").alias("comp")).distinct()
-    while True:
-        by_value = inc.join(labels, "entity_id").groupBy("key", "value").agg(F.min("comp").alias("seen"))
-        near = inc.join(by_value, ["key", "value"]).groupBy("entity_id").agg(F.min("seen").alias("seen"))
-        step = labels.join(near, "entity_id").select("entity_id", F.col("comp").alias("old"), F.least("comp", "seen").alias("comp"))
-        jump = labels.select(F.col("entity_id").alias("_n"), F.col("comp").alias("_c"))
-        fresh = written(step.join(jump, F.col("comp") == F.col("_n"), "left").select("entity_id", "old", F.least("comp", F.coalesce("_c", "comp")).alias("comp")), "labels")
-        labels = fresh.select("entity_id", "comp")
-        if fresh.filter("old <> comp").isEmpty():
-            return labels
+    hubs = inc.groupBy("key", "value").agg(F.min("entity_id").alias("hub"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    star = inc.join(hubs, ["key", "value"]).select(F.col("entity_id").alias("src"), F.col("hub").alias("dst")).filter("src <> dst")
+    comp = connected_components(star, few)
+    out = written(inc.select("entity_id").distinct().join(comp, F.col("entity_id") == F.col("node"), "left").select("entity_id", F.coalesce("comp", "entity_id").alias("comp")), "components")
+    discard(inc)
+    discard(comp)
+    return out
 
 
 def component_sizes(comp: DataFrame) -> DataFrame:
