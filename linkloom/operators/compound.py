@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from linkloom.operators.cliques import potential, propagate_keys, value_cliques
 from linkloom.operators.components import connected_components
-from linkloom.operators.resolve import UnionFind
+from linkloom.operators.resolve import UnionFind, singletons_merged, stars
 from linkloom.storage import written
 
 # Keys by which classes are merged over cliques, and by which unmapped entities look for one.
@@ -60,12 +60,6 @@ def moiety_pairs(counts: DataFrame, links: DataFrame) -> DataFrame:
     return links.join(counts.filter("n = 1").select(F.col("entity_id").alias("src")), "src").select("src", "dst").filter("src <> dst").distinct()
 
 
-def stars(groups: DataFrame, *by: str) -> DataFrame:
-    """(src, dst): each member of a group and the group's least; rows are (entity_id, *by)."""
-    hub = groups.groupBy(*by).agg(F.min("entity_id").alias("dst"))
-    return groups.join(hub, list(by)).filter("entity_id <> dst").select(F.col("entity_id").alias("src"), "dst").distinct()
-
-
 def guarded(classes: DataFrame, pairs: DataFrame, info: DataFrame, roots: DataFrame) -> DataFrame:
     """(entity_id, cls) after the pairs (src, dst) were merged as far as the guards allow.
 
@@ -232,8 +226,8 @@ def resolve_compounds(inc: DataFrame, comp: DataFrame, info: DataFrame, moieties
     classes = guarded(classes, rarest_pairs(best, classes), info, roots)
     classes = guarded(classes, choice_pairs(clique_choice(open_(), inc, classes)), info, roots)
     # singletons join the class that their keys agree on
-    joined = unique_class(open_(), inc.filter(F.col("key").isin(NEAR)), classes)
-    classes = written(classes.unionByName(joined), "classes")
+    joined = singletons_merged(open_(), inc.filter(F.col("key").isin(NEAR)), classes)
+    classes = written(classes.unionByName(joined.withColumnRenamed("target", "cls")), "classes")
     votes = unsure_votes(unsure.join(classes, "entity_id", "left_anti"), links, info).dropna()
     voted = votes.join(classes.withColumnRenamed("entity_id", "target"), "target", "left").select("entity_id", F.coalesce("cls", "target").alias("cls"))
     classes = written(classes.unionByName(voted), "classes")
@@ -241,18 +235,6 @@ def resolve_compounds(inc: DataFrame, comp: DataFrame, info: DataFrame, moieties
     return classes.unionByName(rest)
 
 
-def unique_class(alone: DataFrame, held: DataFrame, classes: DataFrame) -> DataFrame:
-    """(entity_id, cls): for entities alone, the class that all mapped holders of their values of some key agree on.
-
-    A key whose holders disagree proposes nothing; of several keys that propose, the least class counts.
-    Per value the least and greatest class are enough, so holders are never paired.
-    """
-    per_value = held.join(classes.select("entity_id", F.col("cls").alias("mapped")), "entity_id").groupBy("key", "value").agg(F.min("mapped").alias("lo"), F.max("mapped").alias("hi"))
-    mine = held.join(alone, "entity_id", "left_semi").join(per_value, ["key", "value"]).groupBy("entity_id", "key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    # a conflicting key blocks the merge: the smallest entry wins, and a conflict counts as -1
-    return mine.groupBy("entity_id").agg(F.min("lo").alias("cls"), F.max((F.col("lo") != F.col("hi")).cast("int")).alias("clash")).filter("clash = 0").select("entity_id", "cls")
-
-
 def stitch_verdicts(pairs: DataFrame, threshold: Column) -> DataFrame:
     """(src, dst, score, accepted) of scored pairs (src, dst, score, keys, l4, src_l4, dst_l4).
 

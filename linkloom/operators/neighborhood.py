@@ -25,9 +25,10 @@ def neighbors(edges: DataFrame, direction: str = "both", key: str | None = None,
     return out
 
 
-def edge_keys(edges: DataFrame) -> DataFrame:
-    """(entity_id, key, merged values)."""
-    return both_ways(edges).groupBy(F.col("src").alias("entity_id"), "key").agg(F.array_sort(F.collect_set("value")).alias("merged"))
+def edge_keys(inc: DataFrame) -> DataFrame:
+    """(entity_id, key, merged values) of the values that an entity shares with others, without pairs."""
+    shared = inc.groupBy("key", "value").agg(F.countDistinct("entity_id").alias("_n")).filter("_n > 1").select("key", "value")
+    return inc.join(shared, ["key", "value"], "left_semi").groupBy("entity_id", "key").agg(F.array_sort(F.collect_set("value")).alias("merged"))
 
 
 def triples(edges: DataFrame) -> DataFrame:

@@ -47,9 +47,15 @@ class UnionFind:
         return sorted((sorted(c) for c in out.values()), key=lambda c: (-len(c), c[0]))
 
 
-def merge_free(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """(node, comp): classes that the edges of some keys make without any condition."""
-    return connected_components(edges.filter(F.col("key").isin(keys)).select("src", "dst"))
+def stars(groups: DataFrame, *by: str) -> DataFrame:
+    """(src, dst): each member of a group and the group's least; rows are (entity_id, *by).  n members make n - 1 pairs."""
+    hub = groups.groupBy(*by).agg(F.min("entity_id").alias("dst"))
+    return groups.join(hub, list(by)).filter("entity_id <> dst").select(F.col("entity_id").alias("src"), "dst").distinct()
+
+
+def merge_free(inc: DataFrame, keys: list[str]) -> DataFrame:
+    """(node, comp): classes that sharing a value of some keys makes without any condition; entities that share none are left out."""
+    return connected_components(stars(inc.filter(F.col("key").isin(keys)), "key", "value"))
 
 
 def guarded_classes(entities: DataFrame, edges: DataFrame) -> DataFrame:
@@ -57,9 +63,14 @@ def guarded_classes(entities: DataFrame, edges: DataFrame) -> DataFrame:
 
     ``entities``: entity_id, comp, guard (a value that must not differ within a class, or null) and
     is_root; ``edges``: src, dst, key.  In the order of keys, then (src, dst), two classes merge unless
-    both hold a root or their guards differ.
+    both hold a root or their guards differ.  ``comp`` are the components of ``edges``.
     """
     kind = entities.schema["entity_id"].dataType.simpleString()
+    # a component with one root and one guard at most refuses nothing: it is a class, in whatever order it merges
+    calm = entities.groupBy("comp").agg(F.count_if("is_root").alias("_r"), F.countDistinct("guard").alias("_g"), F.coalesce(F.min(F.when(F.col("is_root"), F.col("entity_id"))), F.min("entity_id")).alias("cls"))
+    calm = written(calm.select("comp", "cls", ((F.col("_r") <= 1) & (F.col("_g") <= 1)).alias("calm")), "calm")
+    whole = entities.join(calm.filter("calm"), "comp").select("entity_id", "cls")
+    entities = entities.join(calm.filter("not calm").select("comp"), "comp", "left_semi")
     placed = edges.join(entities.select(F.col("entity_id").alias("src"), "comp"), "src").select(F.col("comp").alias("within"), "src", "dst", "key")
 
     def solve(nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
@@ -78,7 +89,7 @@ def guarded_classes(entities: DataFrame, edges: DataFrame) -> DataFrame:
             guard[first] = guard[first] if guard[first] is not None else guard[other]
         return pd.DataFrame({"entity_id": list(uf.parent), "cls": [uf.root(n) for n in uf.parent]})
 
-    return entities.groupBy("comp").cogroup(placed.groupBy("within")).applyInPandas(solve, f"entity_id {kind}, cls {kind}")
+    return whole.unionByName(entities.groupBy("comp").cogroup(placed.groupBy("within")).applyInPandas(solve, f"entity_id {kind}, cls {kind}"))
 
 
 def class_root(classes: DataFrame, entities: DataFrame) -> DataFrame:
@@ -89,14 +100,15 @@ def class_root(classes: DataFrame, entities: DataFrame) -> DataFrame:
     return j.withColumns({"_r": F.row_number().over(w), "rank": n}).filter("_r = 1").select("cls", F.col("entity_id").alias("root"), "rank")
 
 
-def singletons_merged(classes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(entity_id, target): an entity alone in its class joins the smallest class over its keys, unless a key's neighbours disagree."""
-    size = classes.groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
-    alone = classes.join(size.filter("n = 1").select("cls"), "cls", "left_semi").select("entity_id")
-    mapped = classes.join(size.filter("n > 1").select("cls"), "cls", "left_semi")
-    near = edges.select("src", "dst", "key").union(edges.select("dst", "src", "key")).toDF("entity_id", "other", "key")
-    per = near.join(alone, "entity_id").join(mapped.select(F.col("entity_id").alias("other"), "cls"), "other").groupBy("entity_id", "key").agg(F.countDistinct("cls").alias("n"), F.min("cls").alias("cls"))
-    return per.groupBy("entity_id").agg(F.max("n").alias("n"), F.min("cls").alias("target")).filter("n = 1").select("entity_id", "target")
+def singletons_merged(alone: DataFrame, inc: DataFrame, classes: DataFrame) -> DataFrame:
+    """(entity_id, target): for entities alone, the class that all mapped holders of their values of some key agree on.
+
+    An entity whose holders disagree for one of its keys joins nothing; of several keys that propose, the least
+    class counts.  Per value the least and greatest class are enough, so holders are never paired.
+    """
+    per_value = inc.join(classes.select("entity_id", "cls"), "entity_id").groupBy("key", "value").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"))
+    mine = inc.join(alone.select("entity_id"), "entity_id", "left_semi").join(per_value, ["key", "value"]).groupBy("entity_id", "key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return mine.groupBy("entity_id").agg(F.min("lo").alias("target"), F.max((F.col("lo") != F.col("hi")).cast("int")).alias("clash")).filter("clash = 0").select("entity_id", "target")
 
 
 def sgroups(classes: DataFrame, entities: DataFrame, version: int) -> DataFrame:

@@ -26,13 +26,13 @@ CODE_SQL = f"WITH RECURSIVE inc AS ({PARTS_SQL}), e AS ({EDGES_SQL}), k AS (SELE
 
 @query(CODE_SQL.format("I_CODE") + " SELECT a AS node, least(a, min(b)) AS comp FROM r GROUP BY a")
 def mergers_by_key(spark: SparkSession, d: str) -> DataFrame:
-    return R.merge_free(shared_value_edges(parts(spark, d)), ["I_CODE"])
+    return R.merge_free(parts(spark, d), ["I_CODE"])
 
 
 @query("WITH RECURSIVE k AS (SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND floor(a.s_acctbal / 1000) = floor(b.s_acctbal / 1000) AND a.s_suppkey > b.s_suppkey), u AS (SELECT a, b FROM k UNION SELECT b, a FROM k), r(a, b) AS (SELECT a, b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a) SELECT a AS node, least(a, min(b)) AS comp FROM r GROUP BY a")
 def exact_match_merge(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("entity_id"), F.lit("R_exactMatch").alias("key"), F.concat_ws("|", "s_nationkey", F.floor(F.col("s_acctbal") / 1000)).alias("value"))
-    return R.merge_free(shared_value_edges(s), ["R_exactMatch", "R_equivalentClass"])
+    return R.merge_free(s, ["R_exactMatch", "R_equivalentClass"])
 
 
 def _entities(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -69,10 +69,8 @@ def class_root(spark: SparkSession, d: str) -> DataFrame:
   SELECT entity_id, min(cls) AS target FROM per GROUP BY entity_id HAVING max(n) = 1""")
 def singleton_merge(spark: SparkSession, d: str) -> DataFrame:
     inc = parts(spark, d)
-    edges = shared_value_edges(inc)
-    comp = R.merge_free(edges, ["N_Name"])
-    classes = inc.select("entity_id").distinct().join(comp, F.col("entity_id") == F.col("node"), "left").select("entity_id", F.coalesce("comp", "entity_id").alias("cls"))
-    return R.singletons_merged(classes, edges)
+    classes = R.merge_free(inc, ["N_Name"]).select(F.col("node").alias("entity_id"), F.col("comp").alias("cls"))
+    return R.singletons_merged(inc.select("entity_id").distinct().join(classes, "entity_id", "left_anti"), inc, classes)
 
 
 @query("WITH i AS (SELECT DISTINCT l_suppkey AS e, l_partkey AS v FROM lineitem), s AS (SELECT v, count(*) AS n FROM i GROUP BY v), p AS (SELECT x.v AS a, y.v AS b, count(*) AS ov FROM i x JOIN i y ON x.e = y.e AND x.v < y.v GROUP BY ALL) SELECT a, b, round(ov / (m.n + n.n - ov), 6) AS similarity FROM p JOIN s m ON m.v = a JOIN s n ON n.v = b WHERE ov / (m.n + n.n - ov) > 0.4")

@@ -169,7 +169,7 @@ def neighbors(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH inc AS ({PARTS_SQL}), e AS ({EDGES_SQL}) SELECT entity_id, key, array_to_string(list_sort(list(DISTINCT value)), ';') AS merged FROM (SELECT src AS entity_id, key, value FROM e UNION ALL SELECT dst, key, value FROM e) GROUP BY ALL")
 def edge_keys(spark: SparkSession, d: str) -> DataFrame:
-    return N.edge_keys(shared_value_edges(parts(spark, d))).withColumn("merged", F.array_join("merged", ";"))
+    return N.edge_keys(parts(spark, d)).withColumn("merged", F.array_join("merged", ";"))
 
 
 @query(f"WITH inc AS ({PARTS_SQL}), e AS ({EDGES_SQL}) SELECT src, dst, count(DISTINCT key) AS n_keys, count(*) AS n_values, array_to_string(list_sort(list(DISTINCT key)), ',') AS key_list FROM e GROUP BY src, dst")
