@@ -43,15 +43,57 @@ def trials(df: DataFrame, earliest_per: str | None = "phase") -> DataFrame:
     return event(kept, F.col("entity_id"), kind=F.when(F.col("phase") == "Phase 4", "Marketed").otherwise("Clinical"), source=F.lit("ClinicalTrials"), id=F.col("nct"), start=any_date(F.col("date")), comment=F.col("phase"), url=url)
 
 
-# Name suffixes that tell of an approval or a use.
-SUFFIX_KINDS = {"ORANGE BOOK": "USApprovalRx", "GREEN BOOK": "USAnimalDrug", "USP": "Other", "INCI": "Excipient", "VANDF": "Other"}
+# Record type or name suffix -> (jurisdiction, kind).
+RECORD_KINDS = {
+    "HEALTH -CANADA NHP INGREDIENT MONOGRAPH": ("Canada", "Marketed"),
+    "Canada": ("Canada", "Marketed"),
+    "UK NHS": ("UK", "Marketed"),
+    "Japan": ("Japan", "Marketed"),
+    "ORANGE BOOK": ("US", "Marketed"),
+    "WHO-ATC": (None, "Marketed"),
+    "WHO-ESSENTIAL MEDICINES LIST": (None, "Marketed"),
+    "CFR": ("US", "Marketed"),
+    "FDA ORPHAN DRUG": ("US", "Designation"),
+    "DEA NO.": ("US", "Other"),
+    "EU-Orphan Drug": ("EU", "Designation"),
+    "INN": (None, "Clinical"),
+    "USAN": ("US", "Clinical"),
+    "JAN": ("Japan", "Clinical"),
+    "BAN": ("UK", "Clinical"),
+    "GREEN BOOK": ("US", "USAnimalDrug"),
+}
+
+
+def regulation_kind(entry: Column) -> Column:
+    """What a citation of the federal regulations tells: animal drugs in 21 CFR 5, marketed ones in 2, 3 and 6."""
+    return F.when(entry.startswith("21 CFR 5"), "USAnimalDrug").when(entry.rlike("^21 CFR [236]"), "Marketed").otherwise("Other")
+
+
+def _record_events(df: DataFrame, entry: Column, type_: Column) -> DataFrame:
+    kind = F.create_map(*[x for k, (_, v) in RECORD_KINDS.items() for x in (F.lit(k), F.lit(v))])
+    place = F.create_map(*[x for k, (v, _) in RECORD_KINDS.items() if v for x in (F.lit(k), F.lit(v))])
+    url = F.concat(F.lit("https://ginas.ncats.nih.gov/ginas/app/substance/"), "unii")
+    return event(df, F.col("entity_id"), kind=F.when(type_ == "CFR", regulation_kind(entry)).otherwise(kind[type_]), source=F.lit("G-SRS"), id=F.col("unii"), comment=type_, product=entry, jurisdiction=place[type_], url=url)
+
+
+def substance_events(df: DataFrame) -> DataFrame:
+    """``unii``, ``entries`` (map of record type to its first entry) and ``names``: one event per listed type; one
+    that a name's bracketed suffix tells of takes the place of the record's.  Without an identifier, none."""
+    known = df.filter("unii is not null")
+    direct = known.select("entity_id", "unii", F.explode("entries").alias("type", "entry")).filter(F.col("type").isin(*RECORD_KINDS))
+    # the text between the last opening and the last closing bracket
+    suffix = F.regexp_extract("entry", r"^.* \[(.*)\][^\]]*$", 1)
+    named = known.select("entity_id", "unii", F.posexplode("names").alias("pos", "entry")).withColumn("type", suffix).filter(F.col("type").isin(*RECORD_KINDS) & (F.col("type") != "CFR"))
+    named = named.groupBy("entity_id", "unii", "type").agg(F.max_by("entry", "pos").alias("entry"))
+    first = direct.join(named.select("entity_id", "type"), ["entity_id", "type"], "left_anti").select("entity_id", "unii", "type", "entry")
+    return _record_events(first.unionByName(named.select("entity_id", "unii", "type", "entry")), F.col("entry"), F.col("type"))
 
 
 def named_suffixes(df: DataFrame) -> DataFrame:
     """``names`` (array): an event for each bracketed suffix that is listed."""
-    table = F.create_map(*[x for k, v in SUFFIX_KINDS.items() for x in (F.lit(k), F.lit(v))])
+    kind = F.create_map(*[x for k, (_, v) in RECORD_KINDS.items() for x in (F.lit(k), F.lit(v))])
     s = df.select("entity_id", F.explode("names").alias("name")).select("entity_id", "name", F.explode(suffixes(F.col("name"))).alias("suffix"))
-    return event(s.filter(table[F.col("suffix")].isNotNull()), F.col("entity_id"), kind=table[F.col("suffix")], source=F.lit("names"), id=F.col("name"), comment=F.col("suffix"))
+    return event(s.filter(kind[F.col("suffix")].isNotNull()), F.col("entity_id"), kind=kind[F.col("suffix")], source=F.lit("names"), id=F.col("name"), comment=F.col("suffix"))
 
 
 def references(df: DataFrame) -> DataFrame:

@@ -78,9 +78,11 @@ def _scored(idx: DataFrame, clauses: list[Clause], top: int | None = None) -> Da
 def _stands(places: Column, phrase: tuple[str, ...], slop: int) -> Column:
     """Does the phrase stand in an array of (pos, token)?"""
 
+    def follows(first: Column, i: int, token: str) -> Column:
+        return F.exists(places, lambda y: (y["token"] == token) & (F.abs(y["pos"] - first["pos"] - i) <= slop))
+
     def after(first: Column) -> Column:
-        rest = [F.exists(places, lambda y, i=i, t=t: (y["token"] == t) & (F.abs(y["pos"] - first["pos"] - i) <= slop)) for i, t in enumerate(phrase) if i]
-        return reduce(and_, [first["token"] == phrase[0], *rest])
+        return reduce(and_, [first["token"] == phrase[0], *[follows(first, i, t) for i, t in enumerate(phrase) if i]])
 
     return F.exists(places, after)
 

@@ -20,22 +20,47 @@ MAPPINGS = {
     "ppi": {"I_GENE": ["genes"], "I_PMID": ["pmids"]},
     "orphanet": {"N_Name": ["name", "synonyms"], "I_CODE": ["orpha_code", "xrefs"]},
     "orphan_designation": {"N_Name": ["generic_name", "trade_name"], "I_CODE": ["gard"]},
+    "integrity": {"N_Name": ["Drug_Name"], "I_CAS": ["CAS"]},
+    "hmdb": {"N_Name": ["name", "synonyms"], "I_CAS": ["cas"], "I_CODE": ["accession", "secondary"], "H_InChIKey": ["inchikey"]},
+    "frdb": {"N_Name": ["name", "synonyms", "iupac"], "I_UNII": ["unii"], "I_CAS": ["cas"], "I_CID": ["cid"]},
+    "ncgc": {"N_Name": ["names"], "I_CAS": ["cas"], "I_CODE": ["sample"]},
+    "genereviews": {"N_Name": ["DiseaseName", "Synonyms"], "I_GENE": ["GeneSymbol"], "I_UniProt": ["ProteinName"], "T_Keyword": ["Include"]},
+    "target": {"N_Name": ["name", "synonyms"], "I_UniProt": ["accessions"], "I_GENE": ["gene"], "I_ChEMBL": ["chembl_id"]},
+    "ontology": {"N_Name": ["label", "synonyms"], "I_CODE": ["notation", "xrefs"], "R_subClassOf": ["parents"], "R_exactMatch": ["exact"], "R_equivalentClass": ["equivalent"], "T_Keyword": ["types"]},
 }
 
 
-def keyed(df: DataFrame, entity: str, source: str) -> DataFrame:
-    """Incidence rows of a source's records by its mapping; arrays give a row per value."""
-    parts = []
+# Keys whose values are kept as they are.
+VERBATIM = ["R_exactMatch", "R_equivalentClass", "R_subClassOf"]
+
+
+def cells(df: DataFrame, entity: str, source: str) -> DataFrame:
+    """(entity_id, key, value) as the mapping of a source reads them; arrays give a row per value."""
+    out = None
     for key, columns in MAPPINGS[source].items():
         for c in columns:
             if c in df.columns:
                 cell = F.col(f"`{c}`")
                 values = cell if df.schema[c].dataType.simpleString().startswith("array") else F.array(cell)
-                parts.append(df.select(F.col(entity).alias("id"), F.explode(values).alias("v")).select("id", F.lit(key).alias("key"), F.upper(F.trim(F.col("v").cast("string"))).alias("value")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select(F.col("id").alias("entity_id"), "key", "value").filter("value <> ''").distinct()
+                rows = df.select(F.col(entity).alias("entity_id"), F.explode(values).alias("v")).select("entity_id", F.lit(key).alias("key"), F.col("v").cast("string").alias("value"))
+                out = rows if out is None else out.unionByName(rows)
+    return out.filter(F.trim("value") != "")
+
+
+def keyed(df: DataFrame, entity: str, source: str) -> DataFrame:
+    """Incidence rows of a source's records: values in upper case but those of relations; keywords link nothing."""
+    value = F.when(F.col("key").isin(VERBATIM), F.col("value")).otherwise(F.upper(F.trim("value")))
+    return cells(df, entity, source).filter("key <> 'T_Keyword'").withColumn("value", value).distinct()
+
+
+def keyword_labels(df: DataFrame, entity: str, source: str, labels: DataFrame | None = None) -> DataFrame:
+    """(entity_id, labels): keywords as labels, verbatim, added to those there are (entity_id, labels)."""
+    found = cells(df, entity, source).filter("key = 'T_Keyword'").groupBy("entity_id").agg(F.array_sort(F.collect_set("value")).alias("labels"))
+    if labels is None:
+        return found
+    both = labels.join(found.withColumnRenamed("labels", "_new"), "entity_id", "full")
+    none = F.expr("cast(array() as array<string>)")
+    return both.select("entity_id", F.array_sort(F.array_union(F.coalesce("labels", none), F.coalesce("_new", none))).alias("labels"))
 
 
 # Prefixes of cross references that differ between sources.
@@ -146,3 +171,100 @@ def by_ingredient(products: DataFrame) -> DataFrame:
 def submitter_counts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows per submitter, and how many records have how many genes."""
     return rows.groupBy("submitter").agg(F.count(F.lit(1)).alias("n")), rows.groupBy(F.size("genes").alias("n_genes")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def phenotypes(rows: DataFrame, inc: DataFrame) -> DataFrame:
+    """(src, dst, key, attrs): disorder and phenotype, both by code; the frequency is an attribute only where given."""
+    codes = inc.filter("key = 'I_CODE'").select("entity_id", "value")
+    attrs = F.when(no_value(F.col("frequency")).isNotNull(), F.create_map(F.lit("frequency"), F.trim("frequency")))
+    r = rows.select(F.upper("disorder").alias("_l"), F.upper("phenotype").alias("_r"), attrs.alias("attrs"))
+    a, b = codes.withColumnsRenamed({"entity_id": "src", "value": "_l"}), codes.withColumnsRenamed({"entity_id": "dst", "value": "_r"})
+    return r.join(a, "_l").join(b, "_r").select("src", "dst", F.lit("R_hasPhenotype").alias("key"), "attrs")
+
+
+def prevalence(rows: DataFrame, inc: DataFrame) -> DataFrame:
+    """(src, source, id, key, attrs, pmids): a data row per disorder, source and id, once; PubMed ids from the text."""
+    codes = inc.filter("key = 'I_CODE'").select(F.col("entity_id").alias("src"), F.col("value").alias("_l"))
+    attrs = F.to_json(F.struct(*[c for c in rows.columns if c not in ("disorder", "source", "id")]))
+    pmids = F.transform(F.regexp_extract_all(F.coalesce("reference", F.lit("")), F.lit(r"(\d+)\[PMID\]"), 1), lambda x: x.try_cast("bigint"))
+    found = rows.select(F.upper("disorder").alias("_l"), "source", "id", F.lit("PREVALENCE").alias("key"), attrs.alias("attrs"), pmids.alias("pmids")).join(codes, "_l").drop("_l")
+    return found.groupBy("src", "source", "id", "key").agg(F.min(F.struct("attrs", "pmids")).alias("x")).select("src", "source", "id", "key", "x.*")
+
+
+def drug_records(rows: DataFrame) -> DataFrame:
+    """Drug records of XML (``drugbank-id``: array of struct<_primary, _VALUE>): the primary id and the others,
+    the record's own name, synonyms and groups merged, and the whole record as base64 JSON."""
+    ids = F.col("`drugbank-id`")
+    primary = F.filter(ids, lambda x: F.coalesce(x["_primary"], F.lit(False)))
+    merged = F.array_sort(F.array_distinct(F.filter(F.concat(*[F.coalesce(F.col(c), F.expr("cast(array() as array<string>)")) for c in ("synonyms", "groups")]), lambda x: F.trim(x) != "")))
+    return rows.select(primary[0]["_VALUE"].alias("id"), F.transform(F.filter(ids, lambda x: ~F.coalesce(x["_primary"], F.lit(False))), lambda x: x["_VALUE"]).alias("others"), "name", merged.alias("terms"), F.base64(F.to_json(F.struct("*")).cast("binary")).alias("record"))
+
+
+# What stands for an unknown value in these records.
+UNKNOWN = ["Unknown"]
+
+
+def json_records(rows: DataFrame, structure: str) -> DataFrame:
+    """Records of JSON with nested objects as base64 JSON and unknown values as null; those without a structure go."""
+    out = []
+    for f in rows.schema:
+        kind, c = f.dataType.simpleString(), F.col(f"`{f.name}`")
+        if kind.startswith("struct") or kind.startswith("array<struct"):
+            c = F.when(c.isNotNull(), F.base64(F.to_json(c).cast("binary")))
+        elif kind == "string":
+            c = F.when(~F.trim(c).isin(*UNKNOWN), c)
+        elif kind == "array<string>":
+            c = F.filter(c, lambda x: ~F.trim(x).isin(*UNKNOWN))
+        out.append(c.alias(f.name))
+    return rows.select(*out).filter(F.trim(F.coalesce(F.col(structure), F.lit(""))) != "")
+
+
+def metabolites(rows: DataFrame) -> DataFrame:
+    """Metabolite records: accession and secondary accessions, the metabolite's own synonyms, and patients of
+    abnormal concentrations only."""
+    patients = F.transform(F.coalesce("abnormal_concentrations", F.expr("cast(array() as array<struct<patient_information:string>>)")), lambda x: x["patient_information"])
+    return rows.select("accession", F.array_except("secondary", F.array("accession")).alias("secondary"), "name", F.array_distinct("synonyms").alias("synonyms"), F.array_sort(F.array_distinct(F.filter(patients, lambda x: x.isNotNull()))).alias("patients"))
+
+
+def samples(rows: DataFrame, wanted: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """Sample rows with both names in one array; only listed samples (column sample), or the first ``most`` by id."""
+    names = F.array_distinct(F.filter(F.array("name", "preferred"), lambda x: x.isNotNull() & (F.trim(x) != "")))
+    out = rows.withColumn("names", names).drop("name", "preferred")
+    out = out if wanted is None else out.join(wanted.select("sample").distinct(), "sample", "left_semi")
+    return out if most is None else out.orderBy("sample").limit(most)
+
+
+def chapters(rows: DataFrame) -> DataFrame:
+    """Book chapters (xml: JATS text): keywords by the group's type, authors with their affiliations, history dates."""
+    groups = ["Synonyms", "GeneSymbol", "DiseaseName", "ProteinName", "Include"]
+    words = lambda g: F.transform(F.xpath("xml", F.lit(f"//kwd-group[@kwd-group-type='{g}']/kwd/text()")), lambda x: F.trim(x))
+    authors = F.zip_with(F.xpath("xml", F.lit("//contrib/name/surname/text()")), F.xpath("xml", F.lit("//contrib/xref/@rid")), lambda a, r: F.struct(a.alias("name"), r.alias("rid")))
+    places = F.map_from_arrays(F.xpath("xml", F.lit("//aff/@id")), F.xpath("xml", F.lit("//aff/text()")))
+    part = lambda e: F.xpath("xml", F.lit(f"//history/date/{e}/text()"))
+    dates = F.transform(F.arrays_zip(part("month").alias("m"), part("day").alias("d"), part("year").alias("y")), lambda x: F.concat_ws("/", F.lpad(x["m"], 2, "0"), F.lpad(x["d"], 2, "0"), x["y"]))
+    out = rows.select("id", F.xpath_string("xml", F.lit("//title")).alias("title"), *[words(g).alias(g) for g in groups], authors.alias("_a"), places.alias("_p"), dates.alias("dates"))
+    return out.withColumn("authors", F.transform("_a", lambda a: F.struct(a["name"].alias("name"), F.get(F.map_values(F.map_filter("_p", lambda k, v: k == a["rid"])), F.lit(0)).alias("affiliation")))).drop("_a", "_p")
+
+
+def line_records(lines: DataFrame, names: list[str], sep: str = "\t", value: str = "value") -> DataFrame:
+    """Delimited rows by the names: ``NA`` reads Not Available, short rows keep the cells they have, long ones lose the rest."""
+    cell = F.split(F.col(value), sep)
+    return lines.select(*[F.when(F.trim(F.get(cell, F.lit(i))) == "NA", "Not Available").otherwise(F.get(cell, F.lit(i))).alias(n) for i, n in enumerate(names)])
+
+
+def structure_column(rows: DataFrame, sample: int = 100) -> str | None:
+    """The column whose first ``sample`` non-empty values look most like structure lines (SMILES), if most do."""
+    looks = r"^(?=.*[CNOcno])[A-Za-z0-9@+\-\[\]()=#$%/\\.*:]{3,}$"
+    head = rows.limit(sample)
+    shares = head.agg(*[F.avg(F.col(f"`{c}`").rlike(looks).cast("int")).alias(c) for c in rows.columns]).first().asDict()
+    best = max(shares, key=lambda c: (shares[c] or 0, -rows.columns.index(c)))
+    return best if (shares[best] or 0) > 0.5 else None
+
+
+# Alkali metals.
+GROUP_1 = ["Li", "Na", "K", "Rb", "Cs", "Fr"]
+
+
+def group_1_metal(structure: Column) -> Column:
+    """Is a structure line one atom, and an alkali metal?"""
+    return F.regexp_extract(F.trim(structure), r"^\[\d*([A-Z][a-z]?)(?:H\d*)?[+-]?\d*\]$", 1).isin(*GROUP_1)
