@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from linkloom import model
 from linkloom.functions import keys as K
-from linkloom.operators import cliques, components, curate, editing, events, linking, neighborhood, paths, resolve, search
+from linkloom.operators import cliques, components, compound, curate, editing, events, jobs, linking, neighborhood, paths, reports, resolve, search
 from linkloom.plans import derived
 from linkloom.sources import formats, loaders, sinks
 from linkloom.streaming import ingest
@@ -185,6 +185,9 @@ def test_search(spark):
     idx = search.index(docs, "id", "t")
     assert [r.entity_id for r in search.search(idx, "+red -fox").collect()] == [2]
     assert [r.entity_id for r in search.search(idx, "red ~fox", 1).collect()] == [1]
+    found = lambda q: sorted(r.entity_id for r in search.search_text(docs, "id", "t", q).collect())
+    assert found('+"red dog"') == [2] and found('"dog red"') == [] and found('"the fox"') == [] and found('"the fox"~1') == [1]
+    assert found("red NOT fox") == [2] and found("red AND dog") == [2] and found("fox OR red") == [1] and found("~fox ~dog") == [1, 2] and found("fox's") == [1] and found('red -"red fox"') == [2]
     grams = docs.filter("id = 2").select(F.explode(search.ngrams(F.col("t"))).alias("g")).collect()
     assert sorted(r.g for r in grams) == ["dog", "red", "red", "red dog", "red red", "red red dog"]
 
@@ -219,3 +222,107 @@ def test_stream(spark, core, tmp_path):
     ingest.start(read(), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     got = {r.entity_id: r.comp for r in spark.read.parquet(str(tmp_path / "out/labels/v=1")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
+def test_long_names_are_resolved(spark):
+    docs = spark.createDataFrame([(1, "Under the GNU General Public License, and the gnu general public licence; GNU General Public License"), (2, None)], "id long, t string")
+    names = spark.createDataFrame([("GNU General Public License",), ("license and",), ("MIT",), ("public",)], "name string")
+    assert {(r.entity_id, r["name"], r.hits) for r in search.resolve(docs, "id", "t", names).collect()} == {(1, "gnu general public license", 2), (1, "license and", 1), (1, "public", 3)}
+
+
+def test_components_by_rounds(spark):
+    """Without the last step's one task, round after round."""
+    rng = random.Random(3)
+    pairs = [(rng.randrange(120), rng.randrange(120)) for _ in range(90)] + [(500 + i, 501 + i) for i in range(30)]
+    parent = {x: x for p in pairs for x in p}
+    for _ in range(len(parent)):
+        for a, b in pairs:
+            parent[a] = parent[b] = min(parent[a], parent[b])
+    df = spark.createDataFrame([*pairs, (None, 3)], "src long, dst long")
+    for few in (0, 40, 1000):
+        assert {r.node: r.comp for r in components.connected_components(df, few).collect()} == parent
+
+
+def compound_info(spark, rows):
+    return spark.createDataFrame(rows, "entity_id long, unii array<string>, active array<string>, l4 array<string>")
+
+
+def test_guarded_merges(spark):
+    """Roots and stated moieties keep classes apart, whatever else merges at once."""
+    info = compound_info(spark, [(i, [f"U{i}"], ["U1"] if i == 1 else ["U9"] if i in (6, 7) else None, []) for i in range(1, 12)])
+    roots = spark.createDataFrame([(1, True), (4, True)], "entity_id long, is_root boolean")
+    classes = spark.createDataFrame([(1, 1), (2, 1), (4, 4), (5, 4), (8, 8)], "entity_id long, cls long")
+    pairs = spark.createDataFrame([(2, 5), (3, 2), (6, 7), (6, 1), (10, 11), (8, 9)], "src long, dst long")
+    got = {r.entity_id: r.cls for r in compound.guarded(classes, pairs, info, roots).collect()}
+    # 2-5 would join two roots; 6-1 differ in what they state; 3 joins 2's class; 6-7 agree
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 7: 6, 8: 8, 9: 8, 10: 10, 11: 10}
+
+
+def test_compound_phases(spark):
+    info = compound_info(spark, [(1, ["U1"], None, ["a-N"]), (2, ["U2"], None, ["a-N", "s-S"]), (3, None, None, ["a-N"]), (4, ["U4"], ["U4"], ["b-M"]), (5, ["U5"], None, ["c-N"]), (6, None, None, ["z-N"])])
+    moieties = spark.createDataFrame([(2, ["UNII000001"]), (5, ["U5", "UA", "UB"])], "entity_id long, values array<string>")
+    links = spark.createDataFrame([(2, 1), (5, 4), (5, 6)], "src long, dst long")
+    assert {r.entity_id: r.is_root for r in compound.active_roots(info, links).collect()} == {1: True, 2: False, 3: False, 4: True, 5: False, 6: True}
+    assert {r.entity_id: r.n for r in compound.moiety_counts(info, moieties).collect()} == {2: 1, 5: 2}
+    inc = spark.createDataFrame([(i, "H_LyChI_L4", v) for i, v in [(1, "a-N"), (2, "a-N"), (2, "s-S"), (3, "a-N"), (4, "b-M"), (5, "c-N"), (6, "z-N")]] + [(i, "N_Name", "N") for i in (4, 6)], "entity_id long, key string, value string")
+    comp = components.incidence_components(inc)
+    got = {r.entity_id: r.cls for r in compound.resolve_compounds(inc, comp, info, moieties, links).collect()}
+    # 2 follows its one moiety, 3 the equal structure; 4 and 6 share a name and clique, as two roots they stay apart
+    assert got[1] == got[2] == got[3] == 1 and len(got) == 6 and got[4] == 4
+    votes = {r.entity_id: r.target for r in compound.unsure_votes(spark.createDataFrame([(5,)], "entity_id long"), links, info).collect()}
+    assert votes == {5: None}
+
+
+def test_verdicts(spark):
+    rows = [(1, 2, 1.0, ["H_LyChI_L5"], [], ["x-N"], []), (1, 3, 9.0, ["H_LyChI_L4"], ["a-N"], ["a-N", "s-S"], ["a-N"]), (1, 4, 9.0, ["H_LyChI_L4"], ["a-N"], ["a-N", "b-M"], ["a-N"]), (1, 5, 9.0, ["H_LyChI_L4", "N_Name", "I_CAS"], ["a-N"], ["a-N", "b-M"], ["a-N"]), (1, 6, 6.0, ["H_LyChI_L3", "N_Name", "I_CAS"], [], [], []), (1, 7, 9.0, ["H_LyChI_L3", "N_Name", "I_CAS"], [], [], [])]
+    df = spark.createDataFrame(rows, "src long, dst long, score double, keys array<string>, l4 array<string>, src_l4 array<string>, dst_l4 array<string>")
+    assert {r.dst: r.accepted for r in compound.stitch_verdicts(df, F.lit(3.0)).collect()} == {2: True, 3: True, 4: False, 5: True, 6: False, 7: True}
+
+
+def test_loader_records(spark):
+    xml = "<a><title>T</title><kwd-group kwd-group-type='GeneSymbol'><kwd>G1</kwd><kwd> G2 </kwd></kwd-group><contrib><name><surname>S</surname></name><xref rid='x1'/></contrib><aff id='x1'>Place</aff><history><date><day>3</day><month>4</month><year>2001</year></date></history></a>"
+    c = loaders.chapters(spark.createDataFrame([(1, xml)], "id long, xml string")).first()
+    assert (c.title, c.GeneSymbol, c.Include, [tuple(a) for a in c.authors], c.dates) == ("T", ["G1", "G2"], [], [("S", "Place")], ["04/03/2001"])
+    d = spark.createDataFrame([([("D1", True), ("D2", None)], "n", ["b", "a"], ["a", ""])], "`drugbank-id` array<struct<_VALUE:string,_primary:boolean>>, name string, synonyms array<string>, groups array<string>")
+    r = loaders.drug_records(d).first()
+    assert (r["id"], r.others, r.terms) == ("D1", ["D2"], ["a", "b"])
+    j = spark.createDataFrame([("CC", "Unknown", ["a", "Unknown"], (1,)), (" ", "x", None, None), (None, "x", None, None)], "smiles string, name string, syn array<string>, o struct<k:int>")
+    rows = loaders.json_records(j, "smiles").collect()
+    assert len(rows) == 1 and rows[0]["name"] is None and rows[0].syn == ["a"] and rows[0].o
+    m = spark.createDataFrame([("H1", ["H1", "H2"], "n", ["x", "x"], [("p",), (None,)])], "accession string, secondary array<string>, name string, synonyms array<string>, abnormal_concentrations array<struct<patient_information:string>>")
+    assert [tuple(r) for r in loaders.metabolites(m).collect()] == [("H1", ["H2"], "n", ["x"], ["p"])]
+    p = spark.createDataFrame([("o1", "s", "1", "5 [x] 123[PMID]_45[PMID]", "rare"), ("o1", "s", "1", "other", "z")], "disorder string, source string, id string, reference string, class string")
+    inc = spark.createDataFrame([(9, "I_CODE", "O1")], "entity_id long, key string, value string")
+    got = loaders.prevalence(p, inc).collect()
+    assert len(got) == 1 and got[0].src == 9 and got[0].pmids == [123, 45]
+    t = spark.createDataFrame([("a b", "CC(=O)O", 1), ("c", "c1ccccc1", 2)], "name string, s string, n int")
+    assert loaders.structure_column(t) == "s" and loaders.structure_column(t.select("name")) is None
+
+
+def test_service_and_jobs(spark, core, tmp_path):
+    from linkloom import __main__ as cli
+
+    core.write.parquet(str(tmp_path / "inc"))
+    assert [tuple(r) for r in cli.main(["metrics", str(tmp_path / "inc")])] == [(4, 2, 1, 9)]
+    assert cli.main(["values", str(tmp_path / "inc"), "I_CID", "1"])[0]["edges"] == 1
+    made = []
+    make = lambda: made.append(1) or core
+    for version, now in (("a", 0), ("a", 5), ("a", 50), ("b", 51)):
+        assert jobs.kept(spark, str(tmp_path / "kept"), version, make, 10, now).count() == core.count()
+    assert len(made) == 3
+
+
+def test_strict_clusters(spark):
+    strong = "R_activeMoiety"
+    rows = [(1, strong, "A"), (2, strong, "A"), (3, strong, "B"), (4, strong, "B"), (5, strong, "A"), (5, strong, "B"), (6, "N_Name", "x"), (1, "N_Name", "x"), (7, "N_Name", "y"), (8, "N_Name", "y"), (9, "N_Name", "z")]
+    inc = spark.createDataFrame(rows, "entity_id long, key string, value string")
+    got = {(r.cls, r.entity_id, r.how) for r in reports.strict_clusters(inc).collect()}
+    assert got == {(1, 1, "core"), (1, 2, "core"), (3, 3, "core"), (3, 4, "core"), (1, 6, "near"), (1, 5, "several"), (3, 5, "several"), (7, 7, "left"), (7, 8, "left")}
+    placed = spark.createDataFrame([(1, 1)], "cls long, entity_id long")
+    assert {(r.entity_id, r.cls) for r in reports.candidates(inc, placed).collect()} == {(6, 1)}
+
+
+def test_designations(spark):
+    d = spark.createDataFrame([(1, "Treatment of cystic fibrosis", "01/02/2003"), (2, "none", None)], "id long, text string, date string")
+    n = spark.createDataFrame([("Cystic Fibrosis", "G1"), ("fibrosis", "G2")], "name string, disease_id string")
+    assert [(r.id, r.disease_id, str(r.granted)) for r in reports.designation_map(d, n).collect()] == [(1, "G1", "2003-01-02")]
