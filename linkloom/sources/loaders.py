@@ -101,7 +101,7 @@ def gene_links(rows: DataFrame) -> DataFrame:
 def interactions(rows: DataFrame) -> DataFrame:
     """Human-human interactions: gene ids of three column groups merged, PubMed ids as numbers, ``-`` as null."""
     human = rows.filter(F.col("taxid_a").startswith("taxid:9606") & F.col("taxid_b").startswith("taxid:9606"))
-    genes = lambda s: F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(F.nullif(F.col(f"{c}_{s}"), F.lit("-")), F.lit(r"(?:entrez gene/locuslink|uniprotkb|ensembl):([^|(\"]+)"), 1) for c in ("id", "alt", "alias")])))
+    genes = lambda s: F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(F.col(f"{c}_{s}"), F.lit(r"(?:entrez gene/locuslink|uniprotkb|ensembl):([^|(\"]+)"), 1) for c in ("id", "alt", "alias")])))
     filled = human.na.fill("", [f"{c}_{s}" for c in ("id", "alt", "alias") for s in "ab"])
     return filled.select(genes("a").alias("genes_a"), genes("b").alias("genes_b"), F.transform(F.regexp_extract_all("publications", F.lit(r"pubmed:(\d+)"), 1), lambda x: x.try_cast("bigint")).alias("pmids"))
 
@@ -191,13 +191,18 @@ def prevalence(rows: DataFrame, inc: DataFrame) -> DataFrame:
     return found.groupBy("src", "source", "id", "key").agg(F.min(F.struct("attrs", "pmids")).alias("x")).select("src", "source", "id", "key", "x.*")
 
 
+def encoded(value: Column) -> Column:
+    """Base64 of a value's JSON, in one line."""
+    return F.regexp_replace(F.base64(F.to_json(value).cast("binary")), r"\s", "")
+
+
 def drug_records(rows: DataFrame) -> DataFrame:
     """Drug records of XML (``drugbank-id``: array of struct<_primary, _VALUE>): the primary id and the others,
     the record's own name, synonyms and groups merged, and the whole record as base64 JSON."""
     ids = F.col("`drugbank-id`")
     primary = F.filter(ids, lambda x: F.coalesce(x["_primary"], F.lit(False)))
     merged = F.array_sort(F.array_distinct(F.filter(F.concat(*[F.coalesce(F.col(c), F.expr("cast(array() as array<string>)")) for c in ("synonyms", "groups")]), lambda x: F.trim(x) != "")))
-    return rows.select(primary[0]["_VALUE"].alias("id"), F.transform(F.filter(ids, lambda x: ~F.coalesce(x["_primary"], F.lit(False))), lambda x: x["_VALUE"]).alias("others"), "name", merged.alias("terms"), F.base64(F.to_json(F.struct("*")).cast("binary")).alias("record"))
+    return rows.select(primary[0]["_VALUE"].alias("id"), F.transform(F.filter(ids, lambda x: ~F.coalesce(x["_primary"], F.lit(False))), lambda x: x["_VALUE"]).alias("others"), "name", merged.alias("terms"), encoded(F.struct("*")).alias("record"))
 
 
 # What stands for an unknown value in these records.
@@ -210,7 +215,7 @@ def json_records(rows: DataFrame, structure: str) -> DataFrame:
     for f in rows.schema:
         kind, c = f.dataType.simpleString(), F.col(f"`{f.name}`")
         if kind.startswith("struct") or kind.startswith("array<struct"):
-            c = F.when(c.isNotNull(), F.base64(F.to_json(c).cast("binary")))
+            c = F.when(c.isNotNull(), encoded(c))
         elif kind == "string":
             c = F.when(~F.trim(c).isin(*UNKNOWN), c)
         elif kind == "array<string>":
