@@ -220,10 +220,25 @@ def test_stream(spark, core, tmp_path):
     ingest.start(read(), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     core.filter("entity_id in (2, 3)").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     ingest.start(read(), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-    got = {r.entity_id: r.comp for r in spark.read.parquet(str(tmp_path / "out/labels/v=1")).collect()}
+    got = {r.entity_id: r.comp for r in ingest.labels(spark, str(tmp_path / "out")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4}
 
 
+def test_batches_add_up(spark):
+    """Batch after batch the labels are those of all rows, and a batch writes no more rows than it brings."""
+    rng, rows, state = random.Random(4), [], None
+    for _ in range(4):
+        batch = [(rng.randrange(40), "k", f"v{rng.randrange(45)}") for _ in range(12)]
+        rows += batch
+        new = ingest.merge_batch(state, spark.createDataFrame([*batch, (None, "k", "v1"), (3, "k", None)], "entity_id long, key string, value string"))
+        parts = {name: spark.createDataFrame(t.collect(), t.schema) for name, t in new.items()}
+        assert all(t.count() <= 2 * len(batch) for t in parts.values())
+        state = parts if state is None else {name: state[name].unionByName(t) for name, t in parts.items()}
+        whole = components.incidence_components(spark.createDataFrame(rows, "entity_id long, key string, value string"))
+        got = ingest.current(state["entities"], state["renames"])
+        assert {r.entity_id: r.comp for r in got.collect()} == {r.entity_id: r.comp for r in whole.collect()}
+
+
 def test_long_names_are_resolved(spark):
     docs = spark.createDataFrame([(1, "Under the GNU General Public License, and the gnu general public licence; GNU General Public License"), (2, None)], "id long, t string")
     names = spark.createDataFrame([("GNU General Public License",), ("license and",), ("MIT",), ("public",)], "name string")
