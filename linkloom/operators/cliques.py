@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.model import KEYS
+from linkloom.storage import written
 
 
 def value_cliques(inc: DataFrame, least: int = 2) -> DataFrame:
@@ -57,6 +58,35 @@ def high_confidence(cliques: DataFrame) -> DataFrame:
     return c.join(shared, "_id", "left_anti").drop("_id")
 
 
+def greedy_disjoint(cliques: DataFrame) -> DataFrame:
+    """Cliques taken one by one, largest first (members times edges, then the least members), each without a
+    member of one taken before.
+
+    In a round every clique that is the best among those it shares a member with is taken, and what touches it
+    goes, which gives the same cliques as taking them one by one.
+    """
+    score = (F.col("size") * F.col("size") * (F.col("size") - 1) / 2).cast("long")
+    left = written(cliques.withColumns({"_id": clique_id(), "_score": score}), "cliques")
+    out = left.filter("false")
+    while not left.isEmpty():
+        each = left.select("_id", "_score", F.col("members").alias("_all"), F.explode("members").alias("m"))
+        order = F.struct((-F.col("_score")).alias("s"), "_all", "_id")
+        best = each.groupBy("m").agg(F.min(order).alias("o")).select("m", F.col("o._id").alias("_best"))
+        each = written(each.join(best, "m").select("_id", "m", "_best"), "best")
+        taken = written(each.groupBy("_id").agg(F.min(F.col("_best") == F.col("_id")).alias("ok")).filter("ok").select("_id"), "taken")
+        out = written(out.unionByName(left.join(taken, "_id", "left_semi").select(*left.columns)), "chosen")
+        used = each.join(taken, "_id", "left_semi").select("m").distinct()
+        gone = each.join(used, "m", "left_semi").select("_id").distinct()
+        left = written(left.join(gone, "_id", "left_anti").select(*left.columns), "cliques")
+    return out.drop("_id", "_score")
+
+
+def clique_values(inc: DataFrame, least: int = 2) -> DataFrame:
+    """(members, key, merged): of each clique and key the values that all members share."""
+    held = inc.groupBy("key", "value").agg(F.array_sort(F.collect_set("entity_id")).alias("members")).filter(F.size("members") >= least)
+    return held.groupBy("members", "key").agg(F.array_sort(F.collect_set("value")).alias("merged"))
+
+
 def propagate_keys(cliques: DataFrame) -> DataFrame:
     """Each clique also gets the keys of the cliques that hold it or that it holds."""
     c = cliques.withColumn("_id", clique_id())

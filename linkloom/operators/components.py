@@ -105,6 +105,12 @@ def component_key(comp: DataFrame) -> DataFrame:
     return comp.groupBy("comp").agg(F.substring(F.sha1(raw), 1, 9).alias("component_id"), F.count(F.lit(1)).alias("size"))
 
 
+def component_stats(inc: DataFrame, comp: DataFrame, key: str) -> DataFrame:
+    """(comp, value, edges) of the values of a key that link entities of a component; edges are counted, not made."""
+    n = inc.filter(F.col("key") == key).join(comp, "entity_id").groupBy("comp", "value").agg(F.countDistinct("entity_id").alias("n"))
+    return n.filter("n > 1").select("comp", "value", F.expr("n * (n - 1) div 2").alias("edges"))
+
+
 def both(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.intersect(b)
 

@@ -64,13 +64,14 @@ def guarded(classes: DataFrame, pairs: DataFrame, info: DataFrame, roots: DataFr
     """(entity_id, cls) after the pairs (src, dst) were merged as far as the guards allow.
 
     Two classes that both have a root stay apart.  A pair of which one side is not mapped yet stays apart if
-    both state active moieties and they differ.  Ties and order: pairs by (src, dst); a class without a root
-    is named by the least name.
+    both state active moieties and they differ.  Order: pairs by ``rank`` if they have one, then (src, dst); a
+    class without a root is named by the least name.
     """
     kind = info.schema["entity_id"].dataType.simpleString()
     side = lambda c: classes.select(F.col("entity_id").alias(c), F.col("cls").alias(f"{c}_cls"))
     state = info.join(roots, "entity_id", "left").select("entity_id", F.coalesce("is_root", F.lit(False)).alias("is_root"), F.array_join(F.array_sort("active"), ",").alias("active"))
-    p = pairs.select("src", "dst").distinct().join(side("src"), "src", "left").join(side("dst"), "dst", "left")
+    rank = F.min("rank") if "rank" in pairs.columns else F.min(F.lit(0.0))
+    p = pairs.groupBy("src", "dst").agg(rank.cast("double").alias("rank")).join(side("src"), "src", "left").join(side("dst"), "dst", "left")
     p = p.withColumns({"a": F.coalesce("src_cls", "src"), "b": F.coalesce("dst_cls", "dst"), "open": F.col("src_cls").isNull() | F.col("dst_cls").isNull()}).filter("a <> b")
     for c in ("src", "dst"):
         p = p.join(state.select(F.col("entity_id").alias(c), F.col("active").alias(f"{c}_active")), c, "left")
@@ -87,7 +88,7 @@ def guarded(classes: DataFrame, pairs: DataFrame, info: DataFrame, roots: DataFr
         rooted = dict(zip(members.node, members.is_root))
         mapped = {n for c, n in ((c, n) for s in ("src", "dst") for c, n in zip(links[f"{s}_cls"], links["a" if s == "src" else "b"])) if pd.notna(c)}
         uf, moved = UnionFind(sorted(rooted)), set()
-        for r in links.sort_values(["src", "dst"]).itertuples():
+        for r in links.sort_values(["rank", "src", "dst"]).itertuples():
             a, b = uf.root(r.a), uf.root(r.b)
             unmapped = [x for x in (r.a, r.b) if x not in mapped and x not in moved]
             if a == b or (not unmapped and rooted[a] and rooted[b]):
@@ -101,7 +102,7 @@ def guarded(classes: DataFrame, pairs: DataFrame, info: DataFrame, roots: DataFr
         return pd.DataFrame({"node": pd.Series(keep, dtype=members.node.dtype), "name": pd.Series([uf.root(n) for n in keep], dtype=members.node.dtype)})
 
     hard = groups.filter("conflict").select("comp")
-    links = p.join(comp, F.col("a") == F.col("node")).join(hard, "comp").select(F.col("comp").alias("within"), "src", "dst", "src_cls", "dst_cls", "a", "b", "src_active", "dst_active")
+    links = p.join(comp, F.col("a") == F.col("node")).join(hard, "comp").select(F.col("comp").alias("within"), "rank", "src", "dst", "src_cls", "dst_cls", "a", "b", "src_active", "dst_active")
     walked = links.groupBy("within").cogroup(nodes.join(hard, "comp").groupBy("comp")).applyInPandas(lambda x, y: walk(x, y), f"node {kind}, name {kind}")
     names = written(free.unionByName(walked), "names")
     old = classes.join(names, F.col("cls") == F.col("node"), "left").select("entity_id", F.coalesce("name", "cls").alias("cls"))
@@ -249,3 +250,25 @@ def stitch_verdicts(pairs: DataFrame, threshold: Column) -> DataFrame:
     least = F.when(has("H_LyChI_L5") | (has("H_LyChI_L4") & fits), 1).otherwise(2)
     score = F.when(~has("H_LyChI_L5") & ~has("H_LyChI_L4") & has("H_LyChI_L3"), F.col("score") / 3.0).otherwise(F.col("score"))
     return pairs.select("src", "dst", score.alias("score"), (override | ((F.size("keys") > least) & (score >= threshold))).alias("accepted"))
+
+
+def resolve_by_scores(verdicts: DataFrame, info: DataFrame, roots: DataFrame) -> DataFrame:
+    """(entity_id, cls): accepted pairs of ``stitch_verdicts`` merge by falling score as far as the guards allow;
+    the ends of the others are classes of their own if nothing else takes them."""
+    kind = info.schema["entity_id"].dataType.simpleString()
+    none = info.select("entity_id", F.lit(None).cast(kind).alias("cls")).filter("false")
+    classes = guarded(none, verdicts.filter("accepted").select("src", "dst", (-F.col("score")).alias("rank")), info, roots)
+    ends = verdicts.select(F.col("src").alias("entity_id")).union(verdicts.select("dst")).distinct()
+    return classes.unionByName(ends.join(classes, "entity_id", "left_anti").select("entity_id", F.col("entity_id").alias("cls")))
+
+
+def moiety_class_roots(classes: DataFrame, links: DataFrame, moieties: DataFrame, preferred: DataFrame | None = None) -> DataFrame:
+    """(cls, root): of each class what others point to and what points nowhere, else the fewest moieties
+    (``moieties``: entity_id, n; none known comes last), else the least id; ``preferred`` (entity_id) go before all."""
+    into = links.select(F.col("dst").alias("entity_id"), F.lit(1).alias("into")).distinct()
+    out = links.select(F.col("src").alias("entity_id"), F.lit(1).alias("out")).distinct()
+    j = classes.join(into, "entity_id", "left").join(out, "entity_id", "left").join(moieties.select("entity_id", "n"), "entity_id", "left")
+    first = F.lit(0) if preferred is None else F.coalesce("first", F.lit(0))
+    j = j if preferred is None else j.join(preferred.select("entity_id", F.lit(1).alias("first")).distinct(), "entity_id", "left")
+    order = F.struct((-first).alias("a"), (~(F.col("into").isNotNull() & F.col("out").isNull())).cast("int").alias("b"), F.coalesce("n", F.lit(1 << 30)).alias("c"), F.col("entity_id").alias("d"))
+    return j.groupBy("cls").agg(F.min(order).alias("o")).select("cls", F.col("o.d").alias("root"))

@@ -31,6 +31,12 @@ def add_edges(edges: DataFrame, manual: DataFrame) -> DataFrame:
     return both.groupBy("src", "dst", "key", "value").agg(F.max("attrs").alias("attrs"))
 
 
+def manual_values(inc: DataFrame, manual: DataFrame) -> DataFrame:
+    """Incidence rows with those that manual edges (src, dst, key, value) give to both of their ends."""
+    ends = manual.select(F.explode(F.array("src", "dst")).alias("entity_id"), "key", "value")
+    return inc.select("entity_id", "key", "value").unionByName(ends.filter("value is not null")).distinct()
+
+
 def attach(payloads: DataFrame, inc: DataFrame, key: str, on: str) -> DataFrame:
     """Payload rows attached to every entity that has ``key`` = the row's ``on``; rows without one are dropped."""
     holders = inc.filter(F.col("key") == key).select("entity_id", F.col("value").alias("_value"))

@@ -143,6 +143,19 @@ def value_groups(inc: DataFrame, percent: int = 40) -> DataFrame:
     return both.filter(s > percent / 100).select("a", "b", F.round(s, 6).alias("similarity"))
 
 
+def value_classes(inc: DataFrame, percent: int = 40) -> DataFrame:
+    """(entity_id, cls): values whose entity sets are similar form a class, named by its least value; an entity of
+    several classes goes to the one whose values its own are most like (Jaccard index), then to the least."""
+    pairs = value_groups(inc, percent).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    comp = connected_components(pairs)
+    named = written(inc.join(comp, F.col("value") == F.col("node"), "left").select("entity_id", "value", F.coalesce("comp", "value").alias("cls")), "value_classes")
+    size = named.select("cls", "value").distinct().groupBy("cls").agg(F.count(F.lit(1)).alias("m"))
+    own = named.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
+    both = named.groupBy("entity_id", "cls").agg(F.count(F.lit(1)).alias("ov")).join(size, "cls").join(own, "entity_id")
+    w = Window.partitionBy("entity_id").orderBy(F.desc(F.col("ov") / (F.col("n") + F.col("m") - F.col("ov"))), "cls")
+    return both.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("entity_id", "cls")
+
+
 def plsa(inc: DataFrame, comp: DataFrame, topics: int = 2, seed: int = 11) -> DataFrame:
     """(comp, entity_id, topic): per component, topics of the entity x value matrix by expectation maximisation (seeded)."""
     kind = comp.schema["entity_id"].dataType.simpleString()

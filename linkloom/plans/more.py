@@ -9,12 +9,17 @@ from pyspark.sql import functions as F
 
 from linkloom.api import Graph
 from linkloom.operators import algebra as A
+from linkloom.operators import cliques as Q
 from linkloom.operators import components as C
+from linkloom.operators import compound as K
 from linkloom.operators import jobs as J
 from linkloom.operators import parsers as X
 from linkloom.operators import reports as R
+from linkloom.operators import resolve as V
+from linkloom.operators.linking import manual_values as manual_values_of
 from linkloom.operators.linking import shared_value_edges
-from linkloom.plans.compounds import CP_SQL, compounds
+from linkloom.operators.neighborhood import both_ways
+from linkloom.plans.compounds import CP_SQL, compounds, stitch_verdicts
 from linkloom.plans.derived import EVENTS_SQL, order_events
 from linkloom.plans.links import EDGES_SQL
 from linkloom.plans.registry import query
@@ -288,3 +293,52 @@ def generic_counts(spark: SparkSession, d: str) -> DataFrame:
 def strict_clusters(spark: SparkSession, d: str) -> DataFrame:
     _, _, _, inc = compounds(spark, d)
     return R.strict_clusters(inc.withColumn("key", F.when(F.col("key") == "I_UNII", "R_activeMoiety").otherwise(F.col("key"))))
+
+
+# --- further operators on groups -----------------------------------------------------------------------
+
+
+@query(with_components(PARTS_SQL) + " SELECT comp, value, n * (n - 1) // 2 AS edges FROM (SELECT comp, value, count(*) AS n FROM inc JOIN comp USING (entity_id) WHERE key = 'N_Name' GROUP BY ALL) WHERE n > 1")
+def component_stats(spark: SparkSession, d: str) -> DataFrame:
+    inc = parts(spark, d)
+    return C.component_stats(inc, C.incidence_components(inc), "N_Name")
+
+
+@query(f"WITH inc AS ({PARTS_SQL}) SELECT array_to_string(m, ',') AS members, key, array_to_string(list_sort(list(value)), ';') AS merged FROM (SELECT key, value, list_sort(list(entity_id)) AS m FROM inc GROUP BY key, value HAVING count(*) > 1) GROUP BY m, key")
+def values_of_cliques(spark: SparkSession, d: str) -> DataFrame:
+    v = Q.clique_values(parts(spark, d))
+    return v.select(F.array_join(F.col("members").cast("array<string>"), ",").alias("members"), "key", F.array_join("merged", ";").alias("merged"))
+
+
+@query(f"WITH inc AS ({PARTS_SQL}), e AS ({EDGES_SQL}) SELECT src AS entity_id, dst AS neighbor, key, false AS reverse FROM e WHERE key = 'I_CODE' UNION ALL SELECT dst, src, key, true FROM e WHERE key = 'I_CODE'")
+def neighbor_visits(spark: SparkSession, d: str) -> DataFrame:
+    return both_ways(shared_value_edges(parts(spark, d).filter("key = 'I_CODE'"))).select(F.col("src").alias("entity_id"), F.col("dst").alias("neighbor"), "key", "reverse")
+
+
+@query(f"WITH inc AS ({PARTS_SQL}) SELECT * FROM inc UNION SELECT unnest([p_partkey, p_partkey - 1]), 'I_CODE', 'M' || p_partkey FROM part WHERE p_partkey % 50 = 1")
+def manual_values(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    manual = table(spark, d, "part").filter("p_partkey % 50 = 1").select(k.alias("src"), (k - 1).alias("dst"), F.lit("I_CODE").alias("key"), F.concat(F.lit("M"), k.cast("string")).alias("value"))
+    return manual_values_of(parts(spark, d), manual)
+
+
+@query(f"WITH {CP_SQL}, {GROUPS_SQL} SELECT cls, arg_min(e, (CASE WHEN EXISTS (SELECT 1 FROM ln WHERE dst = e) AND NOT EXISTS (SELECT 1 FROM ln WHERE src = e) THEN 0 ELSE 1 END, e % 3, e)) AS root FROM gr GROUP BY cls")
+def moiety_class_roots(spark: SparkSession, d: str) -> DataFrame:
+    info, _, links, _ = compounds(spark, d)
+    return K.moiety_class_roots(brand_groups(spark, d), links, info.select("entity_id", (F.col("entity_id") % 3).alias("n")))
+
+
+@query()
+def greedy_cliques(spark: SparkSession, d: str) -> DataFrame:
+    return Q.greedy_disjoint(Q.value_cliques(parts(spark, d)))
+
+
+@query()
+def value_classes(spark: SparkSession, d: str) -> DataFrame:
+    return V.value_classes(table(spark, d, "lineitem").select(F.col("l_suppkey").alias("entity_id"), F.col("l_partkey").alias("value")).distinct())
+
+
+@query()
+def scored_classes(spark: SparkSession, d: str) -> DataFrame:
+    info, _, links, _ = compounds(spark, d)
+    return K.resolve_by_scores(stitch_verdicts(spark, d), info, K.active_roots(info, links))

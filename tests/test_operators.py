@@ -341,3 +341,30 @@ def test_designations(spark):
     d = spark.createDataFrame([(1, "Treatment of cystic fibrosis", "01/02/2003"), (2, "none", None)], "id long, text string, date string")
     n = spark.createDataFrame([("Cystic Fibrosis", "G1"), ("fibrosis", "G2")], "name string, disease_id string")
     assert [(r.id, r.disease_id, str(r.granted)) for r in reports.designation_map(d, n).collect()] == [(1, "G1", "2003-01-02")]
+
+
+def test_greedy_cliques(spark):
+    rng = random.Random(6)
+    inc = spark.createDataFrame([(rng.randrange(40), "N_Name", f"v{rng.randrange(18)}") for _ in range(140)], "entity_id long, key string, value string").distinct()
+    found = [list(r.members) for r in cliques.value_cliques(inc).collect()]
+    used, want = set(), []
+    for m in sorted(found, key=lambda m: (-len(m) * len(m) * (len(m) - 1) // 2, m)):
+        if used.isdisjoint(m):
+            want.append(m)
+            used |= set(m)
+    assert sorted(list(r.members) for r in cliques.greedy_disjoint(cliques.value_cliques(inc)).collect()) == sorted(want)
+
+
+def test_value_classes(spark):
+    rows = [(e, v) for v, es in {"a": (1, 2, 3), "b": (1, 2, 3, 4), "c": (7, 8), "d": (4, 7, 8)}.items() for e in es]
+    inc = spark.createDataFrame(rows, "entity_id long, value string")
+    # a and b are alike, c and d are; 4 has b and d: one of two values of either class, so the least
+    assert {r.entity_id: r.cls for r in resolve.value_classes(inc).collect()} == {1: "a", 2: "a", 3: "a", 4: "a", 7: "c", 8: "c"}
+
+
+def test_merges_by_score(spark):
+    """3-4 would join two classes with roots, but only because the stronger pairs came first."""
+    info = compound_info(spark, [(i, [f"U{i}"], None, []) for i in range(1, 7)])
+    roots = spark.createDataFrame([(1, True), (2, True)], "entity_id long, is_root boolean")
+    v = spark.createDataFrame([(1, 4, 9.0, True), (2, 3, 8.0, True), (3, 4, 5.0, True), (5, 6, 1.0, False)], "src long, dst long, score double, accepted boolean")
+    assert {r.entity_id: r.cls for r in compound.resolve_by_scores(v, info, roots).collect()} == {1: 1, 4: 1, 2: 2, 3: 2, 5: 5, 6: 6}
