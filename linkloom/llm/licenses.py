@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import row_groups
+from linkloom.llm.common import mapped, row_groups
 
 # Base phrases with their labels, and the public wording of common licences.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -237,4 +237,4 @@ def scan(documents: DataFrame) -> DataFrame:
                 rows.append((n, len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted(named)), ",".join(sorted(named | {x[1] for x in spans})), min(1.0, max(score, 1.0 if base else 0.0)), [{"label": b, "share": min(a, 1.0), "first": c, "after": d} for a, b, c, d in spans]))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *[pa.array(c, t) for c, t in zip(zip(*rows), types)]], names=names)
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return mapped(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, SCHEMA)

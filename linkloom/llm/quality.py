@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import WordHash, byte_texts, row_groups, shingle_hashes
+from linkloom.llm.common import WordHash, mapped, row_groups, shingle_hashes
 
 SYMBOLS = b"#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
@@ -116,17 +116,17 @@ def measure(documents: DataFrame, order: list[str] | None = None) -> DataFrame:
                 rows.append((d.n_words, d.word_chars, d.n_symbols, d.n_dup_lines, d.n_repeat_words, by == "base", by is None, by))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *[pa.array(c, f.type) for c, f in zip(zip(*rows), list(schema)[1:])]], schema=schema)
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return mapped(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, SCHEMA)
 
 
 def keep(documents: DataFrame) -> DataFrame:
     """The documents that pass, whole rows; the verdict is taken where the row is, without a join."""
-    order, at, columns = rule_order(documents), documents.columns.index("text"), documents.schema
+    order = rule_order(documents)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, rules = WordHash(), [RULES[name] for name in order]
-        for batch in batches:
-            docs = (Doc(t, hashes) for t in byte_texts(batch.column(at)))
+        for batch, texts in row_groups(batches):
+            docs = (Doc(t, hashes) for t in texts)
             yield batch.filter(pa.array([not d.base_failed and not any(r(d) for r in rules) for d in docs], pa.bool_()))
 
-    return documents.mapInArrow(run, columns)
+    return mapped(documents, run, documents.schema)

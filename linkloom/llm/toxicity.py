@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import row_groups
+from linkloom.llm.common import mapped, row_groups
 
 SAMPLE, LEAST, TERMS, LEAST_SUPPORT = 20_000, 8, 400, 3
 TREES, DEPTH, RATE, BINS, LEAF, L2 = 80, 3, 0.15, 32, 5, 1.0
@@ -175,7 +175,7 @@ def learned_terms(rows: DataFrame) -> dict[str, float]:
                 if terms:
                     yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array([y] * len(terms), pa.int32())], names=["term", "y"])
 
-    counts = rows.select("y", "text").mapInArrow(run, "term string, y int").groupBy("term").agg(F.sum("y").alias("a"), F.count(F.lit(1)).alias("n"))
+    counts = mapped(rows.select("y", "text"), run, "term string, y int").groupBy("term").agg(F.sum("y").alias("a"), F.count(F.lit(1)).alias("n"))
     total = rows.agg(F.sum("y"), F.count(F.lit(1))).first()
     toxic, clean = total[0] or 0, (total[1] or 0) - (total[0] or 0)
     weight = F.log((F.col("a") + 0.5) / (toxic + 1)) - F.log((F.col("n") - F.col("a") + 0.5) / (clean + 1))
@@ -198,7 +198,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
             x = pa.array([words.of(t) for t in texts], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), x], names=["y", "_draw", "x"])
 
-    half = rows.filter(F.col("_draw") % 2 == 1).select("y", "_draw", "text").mapInArrow(run, "y int, _draw long, x array<double>").orderBy("_draw", "y").limit(sample).collect()
+    half = mapped(rows.filter(F.col("_draw") % 2 == 1).select("y", "_draw", "text"), run, "y int, _draw long, x array<double>").orderBy("_draw", "y").limit(sample).collect()
     y = np.array([r[0] for r in half], np.float64)
     share = float(y.mean()) if len(y) else 0.0
     if min(y.sum(), len(y) - y.sum()) < LEAST:
@@ -220,4 +220,4 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     kept = documents.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
-    return kept.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return mapped(kept, run, "doc_id long, held_out boolean, score double, predicted int")
