@@ -6,20 +6,22 @@ leftmost of equals.  Equal strings have equal anchors at equal distances, so onl
 the same anchor hash have to be compared, and strings that follow each other mostly share an anchor:
 they form one *segment*, about (DEPTH - K) / 2 strings, K to 2 DEPTH bytes.
 
-1. Anchors of all texts are found (vectorised); a row is an anchor hash, a segment hash and a place.
-2. Anchor hashes that occur once are done.  Where all segments of an anchor are equal, all repeat.
-3. Of the others, each different segment is fetched once, and the segments of an anchor are sorted
-   together by the two-stage suffix sort (``suffixes``), which marks the strings that repeat.
-   An anchor with more than ``MOST`` different segments goes another, equally exact way: its strings
-   are counted by 128-bit digests with partial aggregation, so no task sees the whole group.
+1. Anchors of all texts are found (vectorised); a row is an anchor hash, a segment's 128-bit BLAKE2 digest
+   and a place.
+2. Anchor hashes that occur once are done.  Segments of one anchor with equal digests repeat as a whole.
+3. Each different segment of an anchor is fetched once, and the segments of an anchor are sorted together
+   by the two-stage suffix sort (``suffixes``), which marks the strings that they share.  The segments of an
+   anchor with more than ``MOST`` of them do not go into one sort: their strings are counted by their bytes,
+   with partial aggregation, so no task sees the whole group.  Results are equal.
 4. Places are joined back to texts; covered bytes are removed.
 
-Steps 2 and 3 aggregate before they shuffle; the joins are on keys whose small side has each once, so
-Spark can split hot keys.  Hashes file and count; an anchor's different segments are compared by bytes.
+Steps 2 and 3 aggregate before they shuffle, and joins read written tables whose small side has each key
+once, so Spark can split hot keys.  Anchor hashes only file strings; what repeats is decided by digest for
+whole segments and by bytes within them.
 
 Edge cases: null text is empty; texts under DEPTH bytes are kept whole; rows that repeat doc_id and text
 repeat each other's strings, and rows that share a doc_id only are told apart by a hash of their text; a
-null doc_id is a value like others; an empty table gives no rows; extra columns are ignored.
+null doc_id is a value like others; an empty table gives no rows; extra columns are ignored.  Very long texts are searched in overlapping pieces of ``PIECE`` bytes.
 """
 
 from __future__ import annotations
@@ -30,11 +32,10 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import BASES, CHUNK_BYTES, Powers, byte_texts, mix, row_groups, spans
+from linkloom.llm.common import BASES, CHUNK_BYTES, Powers, mapped, mix, row_groups, spans
 from linkloom.llm.suffixes import DEPTH, repeated_starts
 from linkloom.storage import discard, written
 
@@ -44,24 +45,27 @@ WIDTH = DEPTH - K + 1
 MOST, BLOCK_BYTES = 20_000, 1 << 20
 #: Bits of a packed anchor that hold its place, and so the most places in one step.
 PLACE_BITS = 24
-PIECE = 8 << 20
+PIECE = CHUNK_BYTES
 
 KEYS = ["k_id", "k_text"]
+#: An anchor and the digest of a segment of it.
+SEGMENT = ["h", "g1", "g2"]
 
 
 class Anchors:
-    """Finds (anchor hash, segment hash, piece, first string, last string) of the segments of some pieces."""
+    """Finds (anchor hash, segment digest, piece, first string, last string) of the segments of some pieces."""
 
     def __init__(self) -> None:
-        self.powers = [Powers(b) for b in BASES]
+        self.powers = Powers(BASES[0])
 
-    def prefix(self, which: int, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        up, down = self.powers[which].upto(len(data) + 1)
+    def prefix(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        up, down = self.powers.upto(len(data) + 1)
         return np.concatenate((np.zeros(1, np.uint64), np.cumsum((data + np.uint64(1)) * up[: len(data)], dtype=np.uint64))), down
 
     def find(self, pieces: list[bytes]) -> tuple[np.ndarray, ...]:
         sizes = np.array([len(p) for p in pieces], np.int64)
-        data = np.frombuffer(b"".join(pieces), np.uint8).astype(np.uint64)
+        joined = b"".join(pieces)
+        data = np.frombuffer(joined, np.uint8).astype(np.uint64)
         n = len(data)
         ends = np.cumsum(sizes)
         string = np.zeros(n + 1, np.int8)  # from where DEPTH bytes lie in one piece
@@ -69,8 +73,8 @@ class Anchors:
         np.add.at(string, (ends - DEPTH + 1)[sizes >= DEPTH], -1)
         at = np.flatnonzero(np.cumsum(string[:-1]))
         if not len(at):
-            return (np.zeros(0, np.uint64), np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
-        sums, down = self.prefix(0, data)
+            return np.zeros(0, np.uint64), np.zeros((0, 2), np.int64), *[np.zeros(0, np.int64)] * 3
+        sums, down = self.prefix(data)
         hashes = mix((sums[K:] - sums[:-K]) * down[: n - K + 1])
         mask = np.uint64((1 << PLACE_BITS) - 1)
         packed = (hashes & ~mask) | np.arange(len(hashes), dtype=np.uint64)
@@ -84,8 +88,8 @@ class Anchors:
         anchor = (np.minimum(rest[at], begun[at + WIDTH - 1]) & mask).astype(np.int64)
         first = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
         lo, hi = at[first], at[np.append(first[1:], len(at)) - 1]
-        sums, down = self.prefix(1, data)
-        segment = mix((sums[hi + DEPTH] - sums[lo]) * down[lo] + (hi - lo).astype(np.uint64))
+        digests = [hashlib.blake2b(joined[a : b + DEPTH], digest_size=16).digest() for a, b in zip(lo.tolist(), hi.tolist())]
+        segment = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
         piece = np.searchsorted(ends, lo, side="right")
         begin = (ends - sizes)[piece]
         return hashes[anchor[first]], segment, piece, lo - begin, hi - begin
@@ -97,8 +101,8 @@ def keyed(documents: DataFrame, *more: Column) -> DataFrame:
 
 
 def anchors(documents: DataFrame) -> DataFrame:
-    names = ["h", "g", *KEYS, "lo", "hi"]
-    types = [pa.int64()] * 4 + [pa.int32()] * 2
+    names = [*SEGMENT, *KEYS, "lo", "hi"]
+    types = [pa.int64()] * 5 + [pa.int32()] * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Anchors()
@@ -109,24 +113,23 @@ def anchors(documents: DataFrame) -> DataFrame:
                 h, g, piece, lo, hi = finder.find([p[2] for p in pieces[a:b]])
                 row = np.array([p[0] for p in pieces[a:b]])[piece]
                 shift = np.array([p[1] for p in pieces[a:b]])[piece]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((h.view(np.int64), g.view(np.int64), ids[row], rk[row], lo + shift, hi + shift), types)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((h.view(np.int64), g[:, 0], g[:, 1], ids[row], rk[row], lo + shift, hi + shift), types)], names=names)
 
     source = keyed(documents).filter(F.octet_length("text") >= DEPTH).select(*KEYS, "text")
-    return source.mapInArrow(run, "h long, g long, k_id long, k_text long, lo int, hi int")
+    return mapped(source, run, "h long, g1 long, g2 long, k_id long, k_text long, lo int, hi int")
 
 
 def cut(documents: DataFrame, places: DataFrame) -> DataFrame:
-    """(h, g, n, segment bytes) of one place of each different segment."""
-    lists = places.groupBy(*KEYS).agg(F.collect_list(F.struct("h", "g", "n", "lo", "hi")).alias("at"))
+    """(h, g1, g2, n, segment bytes) of one place of each different segment."""
+    lists = places.groupBy(*KEYS).agg(F.collect_list(F.struct(*SEGMENT, "n", "lo", "hi")).alias("at"))
+    types = [pa.int64()] * 4 + [pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in spans([len(t) for t in byte_texts(batch.column(1))], 4 * CHUNK_BYTES):
-                part = batch.slice(a, b - a)
-                rows = [(x["h"], x["g"], x["n"], t[x["lo"] : x["hi"] + DEPTH]) for t, at in zip(byte_texts(part.column(1)), part.column(0).to_pylist()) for x in at]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["h", "g", "n", "segment"])
+        for part, texts in row_groups(batches):
+            rows = [(x["h"], x["g1"], x["g2"], x["n"], t[x["lo"] : x["hi"] + DEPTH]) for t, at in zip(texts, part.column(0).to_pylist()) for x in at]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 5, types)], names=[*SEGMENT, "n", "segment"])
 
-    return lists.join(keyed(documents), KEYS).select("at", "text").mapInArrow(run, "h long, g long, n long, segment binary")
+    return mapped(lists.join(keyed(documents), KEYS).select("at", "text"), run, "h long, g1 long, g2 long, n long, segment binary")
 
 
 def runs(places: np.ndarray) -> list[dict[str, int]]:
@@ -140,18 +143,18 @@ RANGES = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 
 def sorted_blocks(segments: DataFrame) -> DataFrame:
-    """(h, g, ranges of repeated strings): suffix sorts of blocks of whole anchors."""
+    """(h, g1, g2, ranges of repeated strings): suffix sorts of blocks of whole anchors."""
 
-    def solve(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-        found = repeated_starts([r[2] for r in rows])
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([runs(f) for f in found], RANGES)], names=["h", "g", "ranges"])
+    def solve(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+        found = repeated_starts([r[3] for r in rows])
+        return pa.RecordBatch.from_arrays([*[pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], pa.array([runs(f) for f in found], RANGES)], names=[*SEGMENT, "ranges"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream = (r for batch in batches for r in zip(*[batch.column(i).to_pylist() for i in range(3)]))
+        stream = (r for batch in batches for r in zip(*[batch.column(i).to_pylist() for i in range(4)]))
         block, size = [], 0
         for _, group in groupby(stream, key=lambda r: r[0]):
             rows = list(group)
-            n = sum(len(r[2]) for r in rows)
+            n = sum(len(r[3]) for r in rows)
             if block and size + n > BLOCK_BYTES:
                 yield solve(block)
                 block, size = [], 0
@@ -159,44 +162,48 @@ def sorted_blocks(segments: DataFrame) -> DataFrame:
         if block:
             yield solve(block)
 
-    return segments.select("h", "g", "segment").repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long, g long, ranges array<struct<a:int,b:int>>")
+    ordered = segments.select(*SEGMENT, "segment").repartition("h").sortWithinPartitions("h")
+    return mapped(ordered, run, "h long, g1 long, g2 long, ranges array<struct<a:int,b:int>>")
 
 
 def counted_strings(segments: DataFrame) -> DataFrame:
-    """The same for anchors with very many segments: strings counted by digest."""
+    """The same for anchors with very many segments: strings counted by their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for h, g, s in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+            for *key, s in zip(*[batch.column(i).to_pylist() for i in range(4)]):
                 at = range(len(s) - DEPTH + 1)
-                yield pa.RecordBatch.from_arrays([pa.array([h] * len(at), pa.int64()), pa.array([g] * len(at), pa.int64()), pa.array(at, pa.int32()), pa.array([xxhash.xxh3_128_digest(s[i : i + DEPTH]) for i in at], pa.binary())], names=["h", "g", "i", "d"])
+                yield pa.RecordBatch.from_arrays([*[pa.array([k] * len(at), pa.int64()) for k in key], pa.array(at, pa.int32()), pa.array([s[i : i + DEPTH] for i in at], pa.binary())], names=[*SEGMENT, "i", "s"])
 
-    strings = segments.select("h", "g", "segment").mapInArrow(run, "h long, g long, i int, d binary")
-    twice = strings.groupBy("d").count().filter("count > 1").select("d")
-    return strings.join(twice, "d").groupBy("h", "g").agg(F.collect_list(F.struct(F.col("i").alias("a"), F.col("i").alias("b"))).alias("ranges"))
+    strings = written(mapped(segments.select(*SEGMENT, "segment"), run, "h long, g1 long, g2 long, i int, s binary"), "strings")
+    twice = written(strings.groupBy("s").count().filter("count > 1").select("s"), "twice")
+    return strings.join(twice, "s").groupBy(*SEGMENT).agg(F.collect_list(F.struct(F.col("i").alias("a"), F.col("i").alias("b"))).alias("ranges"))
 
 
 def repeated_places(documents: DataFrame, most: int = MOST) -> DataFrame:
     """(k_id, k_text, ranges): from where to where repeated strings start in each text that has some."""
     found = written(anchors(documents), "anchors")
-    again = found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), (F.min("g") == F.max("g")).alias("uniform")).filter("n > 1").select("h", "uniform")
+    g = F.struct("g1", "g2")
+    again = found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), (F.min(g) == F.max(g)).alias("uniform")).filter("n > 1").select("h", "uniform")
+    again = written(again, "again")  # a table of its own, so that the join can split a hot anchor
     shared = written(found.join(again, "h"), "shared")
     discard(found)
+    discard(again)
     mixed = shared.filter(~F.col("uniform"))
-    kinds = mixed.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*KEYS, "lo", "hi")).alias("place")).select("h", "g", "n", "place.*")
+    kinds = mixed.groupBy(*SEGMENT).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*KEYS, "lo", "hi")).alias("place")).select(*SEGMENT, "n", "place.*")
     segments = written(cut(documents, kinds), "segments")
     hot = written(segments.groupBy("h").count().filter(F.col("count") > most).select("h"), "hot")
     parts = sorted_blocks(segments.join(hot, "h", "left_anti"))
     if not hot.isEmpty():
         parts = parts.unionByName(counted_strings(segments.join(hot, "h", "left_semi")))
-    whole = segments.filter("n > 1").select("h", "g", F.lit(True).alias("whole"))
-    inner = parts.filter(F.size("ranges") > 0).join(whole.select("h", "g"), ["h", "g"], "left_anti")
+    whole = segments.filter("n > 1").select(*SEGMENT)
+    inner = written(parts.filter(F.size("ranges") > 0).join(whole, SEGMENT, "left_anti"), "inner")
     everywhere = F.array(F.struct(F.col("lo").alias("a"), F.col("hi").alias("b")))
     shifted = F.transform("ranges", lambda r: F.struct((r["a"] + F.col("lo")).cast("int").alias("a"), (r["b"] + F.col("lo")).cast("int").alias("b")))
     places = (
         shared.filter("uniform").select(*KEYS, everywhere.alias("r"))
-        .unionByName(mixed.join(whole, ["h", "g"]).select(*KEYS, everywhere.alias("r")))
-        .unionByName(mixed.join(inner, ["h", "g"]).select(*KEYS, shifted.alias("r")))
+        .unionByName(mixed.join(whole, SEGMENT).select(*KEYS, everywhere.alias("r")))
+        .unionByName(mixed.join(inner, SEGMENT).select(*KEYS, shifted.alias("r")))
     )
     return places.groupBy(*KEYS).agg(F.flatten(F.collect_list("r")).alias("ranges"))
 
@@ -222,29 +229,29 @@ def remove_repeats(documents: DataFrame, most: int = MOST) -> DataFrame:
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, texts in row_groups(batches):
             rows = []
-            for text, ranges in zip(byte_texts(batch.column(1)), batch.column(2).to_pylist()):
+            for text, ranges in zip(texts, batch.column(2).to_pylist()):
                 gone = covered(ranges)
                 rows.append((len(text), sum(b - a for a, b in gone), len(gone), hashlib.sha256(kept_bytes(text, gone)).hexdigest()))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *[pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 4, [pa.int64()] * 3 + [pa.string()])]], names=names)
 
     joined = keyed(documents).join(repeated_places(documents, most), KEYS, "left")
-    return joined.select("doc_id", "text", "ranges").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return mapped(joined.select("doc_id", "text", "ranges"), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def strip_repeats(documents: DataFrame, most: int = MOST) -> DataFrame:
     """The documents without the repeated bytes, and n_chars anew; halves of a character that was cut go too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [kept_bytes(t, covered(r)).decode("utf-8", "ignore") for t, r in zip(byte_texts(batch.column(0)), batch.column(1).to_pylist())]
+        for batch, raw in row_groups(batches):
+            texts = [kept_bytes(t, covered(r)).decode("utf-8", "ignore") for t, r in zip(raw, batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(texts, pa.string())], names=["rest", "left"])
 
     # the other columns ride in one, so no name of theirs can clash
     rest = documents.schema.__class__([f for f in documents.schema if f.name != "text"])
     rows = keyed(documents, F.struct(*[F.col(f"`{f.name}`") for f in rest]).alias("rest"))
     joined = rows.join(repeated_places(documents, most), KEYS, "left").select("text", "ranges", "rest")
-    left = joined.mapInArrow(run, f"rest {rest.simpleString()}, left string")
+    left = mapped(joined, run, f"rest {rest.simpleString()}, left string")
     made = {"text": F.col("left"), "n_chars": F.length("left").cast("long")}
     return left.select(*[made.get(c, F.col(f"rest.`{c}`")).alias(c) for c in documents.columns])
