@@ -10,14 +10,15 @@ and along it the words are compared one by one: a leak is a stretch of WINDOW wo
 item, with the share of equal words.
 
 Only seeds whose words all belong to the items' vocabulary can hit, and the others are not hashed.  The
-items are taken in blocks of at most ``BLOCK_WORDS`` words, so what a task holds is bounded however large
-the benchmark is; each block is one pass over the documents, and nothing is shuffled before the hits.
+items are taken in blocks of at most ``BLOCK_WORDS`` words (one item at least), so what a task and the driver
+hold is bounded however large the benchmark is; each block is one pass over the documents, and nothing is
+shuffled before the hits.
 
 Words are runs of digits, ASCII letters and non-ASCII characters, lower-cased.
 
 Edge cases: null and empty texts and items have no words; items of fewer than ``LEAST`` words are not
 searched; items that repeat an item_id are searched each; a pair found on several diagonals gives one row,
-with the best of them (then the first); an empty documents or benchmark table gives no rows; extra columns
+with the best of them (then the first); very long texts are searched whole; an empty documents or benchmark table gives no rows; extra columns
 are ignored.
 """
 
@@ -31,12 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import mix, row_groups
+from linkloom.llm.common import mapped, mix, row_groups
+from linkloom.storage import written
 
 WINDOW, SHARE, LEAST = 13, 80, 2
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 3, 6, 7))
 SHORT_MASKS = ((0, 1, 2), (0, 1, 3))
 BLOCK_WORDS = 200_000
+#: Seed hits that are looked at together.
+HITS = 1 << 18
 #: Every ASCII byte that is no digit or letter separates words.
 WORDS = bytes(b if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 SCHEMA = "doc_id long, item_id long, first_word long, after_word long, n_equal long, n_places long"
@@ -96,11 +100,13 @@ class Block:
             at, value = seeds(ids, mask)
             low, high = np.searchsorted(self.value, value, "left"), np.searchsorted(self.value, value, "right")
             times = high - low
-            hit = np.flatnonzero(times)
-            if len(hit):
-                times = times[hit]
-                entry = np.repeat(low[hit], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                out.append(np.stack((self.item[entry], np.repeat(at[hit], times) - self.place[entry]), axis=1))
+            hits = np.flatnonzero(times)
+            # so many hits at a time that a word repeated in a text and an item cannot fill the memory
+            for hit in np.split(hits, np.flatnonzero(np.diff(np.cumsum(times[hits]) // HITS)) + 1):
+                n = times[hit]
+                entry = np.repeat(low[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                if len(entry):
+                    out.append(np.unique(np.stack((self.item[entry], np.repeat(at[hit], n) - self.place[entry]), axis=1), axis=0))
         return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
 
     def verify(self, ids: np.ndarray, item: int, start: int) -> tuple[int, int, int] | None:
@@ -152,7 +158,7 @@ def leaks_of_block(documents: DataFrame, block: Block) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "item_id", "first_word", "after_word", "n_equal", "n_places"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return mapped(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, SCHEMA)
 
 
 def blocks(benchmark: DataFrame, limit: int = BLOCK_WORDS) -> Iterator[Block]:
@@ -170,10 +176,13 @@ def blocks(benchmark: DataFrame, limit: int = BLOCK_WORDS) -> Iterator[Block]:
 
 def leaks(documents: DataFrame, benchmark: DataFrame, limit: int = BLOCK_WORDS) -> DataFrame:
     """One row for each document and test item that it holds: where, how many equal words, how many places."""
-    out = None
+    done, out = [], None
     for block in blocks(benchmark, limit):
-        found = leaks_of_block(documents, block)
-        out = found if out is None else out.unionByName(found)
+        if out is not None:  # written, so that the driver holds one block at a time
+            done.append(written(out, "leaks"))
+        out = leaks_of_block(documents, block)
+    for found in done:
+        out = out.unionByName(found)
     return out
 
 
