@@ -7,14 +7,17 @@ The genes of a packing are its bins.  A crossover injects the well-filled bins o
 another, drops the bins of that parent that hold any of their documents, and puts the documents so
 displaced back by best fit, longest first.  Pieces are dealt by hash to groups of about ``GROUP``
 pieces; each group evolves on ``ISLANDS`` islands (rows of a table, so tasks of Spark), and between
-epochs each island's elite migrates to the next one.  The best packing of the islands wins.  A group
-leaves a bin or two poorly filled; the pieces of such bins are pooled and packed once more.
+epochs each island's elite migrates to the next one.  An island starts from best-fit packings of its
+pieces in different orders and crosses in every generation; fewer bins win, then bins that are fuller
+and leave their room in one place.  The best packing of the islands wins.  A group leaves a bin or two
+poorly filled; the pieces of such bins are pooled and packed once more.
 
 Tokenising is exact: pieces of text between ASCII white space are looked up, and unknown ones encoded
 by the tokenizer itself (it never joins text across white space).
 
-Edge cases: null and empty texts have the end id only; an empty table gives no rows; rows that repeat
-a doc_id are packed each; a null doc_id stays null; extra columns are ignored.
+Edge cases: null and empty texts have the end id only; texts of any length are encoded whole and cut into
+pieces of a sequence; pieces of equal length are ties, which any packing may order; an empty table gives no
+rows; rows that repeat a doc_id are packed each; a null doc_id stays null; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,11 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import row_groups
+from linkloom.llm.common import mapped, row_groups
 from linkloom.storage import written
 
 LENGTH, END = 4096, 1
-GROUP, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4_000, 2, 2, 6, 4
+GROUP, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4_000, 2, 2, 4, 4
 #: A bin below this share of the length is packed once more.
 POOR = 0.97
 MOST_WORDS = 700_000
@@ -142,7 +145,7 @@ def pieces(documents: DataFrame, path: str | None = None, length: int = LENGTH)
                     rows.append((doc_id, k, a // 4, len(part) // 4, zlib.crc32(part)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
+    return mapped(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, PIECES)
 
 
 class Packing:
@@ -207,16 +210,13 @@ def mutate(p: Packing, sizes: list[int], capacity: int, rng: random.Random) -> P
 def evolve(sizes: list[int], start: list[list[int]], seed: int, capacity: int = LENGTH, generations: int = GENERATIONS, population: int = POPULATION) -> list[list[int]]:
     """Elites first: for each item its bin.  ``start``: packings to begin with (migrants and own elites)."""
     rng = random.Random(seed)
-    least = -(-sum(sizes) // capacity)
     falling = sorted(range(len(sizes)), key=lambda i: -sizes[i])
     group = [grouped(p, sizes) for p in start] or [best_fit(sizes, falling, capacity)]
-    while len(group) < population and len(group[0].bins) > least:
+    while len(group) < population:
         noisy = sorted(falling, key=lambda i: -sizes[i] * rng.uniform(0.8, 1.2))
         group.append(best_fit(sizes, noisy, capacity))
     group.sort(key=lambda p: p.fitness(capacity), reverse=True)
     for _ in range(generations):
-        if len(group[0].bins) <= least:
-            break
         a, b = group[0], rng.choice(group[1:] or group)
         children = [cross(a, b, sizes, capacity, rng), cross(b, a, sizes, capacity, rng), mutate(a, sizes, capacity, rng)]
         group = sorted(group + children, key=lambda p: p.fitness(capacity), reverse=True)[:population]
@@ -251,7 +251,7 @@ def epoch(state: DataFrame, number: int, capacity: int) -> DataFrame:
                 elites = evolve(sizes, start, hash((grp, island, number)), capacity)
                 yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(r, 1) for i in range(4)], pa.array([elites], pa.list_(pa.list_(pa.int32())))], names=batch.schema.names)
 
-    return state.repartition("grp", "island").mapInArrow(run, STATE)
+    return mapped(state.repartition("grp", "island"), run, STATE)
 
 
 def migrate(state: DataFrame) -> DataFrame:
@@ -286,7 +286,7 @@ def packed(items: DataFrame, first_id: int, capacity: int = LENGTH) -> DataFrame
                         offset += sizes[i]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["row", "sequence_id", "offset", "load"])
 
-    return state.join(best, ["grp", "island"]).select("grp", "rows", "sizes", "elites").mapInArrow(lay, "row long, sequence_id long, offset long, load long")
+    return mapped(state.join(best, ["grp", "island"]).select("grp", "rows", "sizes", "elites"), lay, "row long, sequence_id long, offset long, load long")
 
 
 def pack(documents: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
