@@ -10,7 +10,7 @@ match is long enough.
 
 A word outside the templates resets the match, so only runs of template words are streamed one by one.
 
-Edge cases: null and empty texts have no words, no labels, score 0; ties between chains go to the
+Edge cases: null and empty texts have no words, no labels, score 0; very long texts are streamed whole; ties between chains go to the
 longer, then the earlier one; repeated rows give repeated rows; an empty table gives no rows; extra
 columns are ignored.
 """

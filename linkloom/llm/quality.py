@@ -9,8 +9,8 @@ The digest's counts (words, code points in words, symbols, repeated lines and wo
 of every document, so they are found for all; what the cascade saves are the further measures.
 Windows of three words are compared by 64-bit hashes within one document.
 
-Edge cases: null and empty texts have no words and fail the base rule; repeated rows give repeated
-rows; an empty table gives no rows (the rules then keep their written order); extra columns are
+Edge cases: null and empty texts have no words and fail the base rule; very long texts are measured whole;
+rules that reject equally much per cost keep their written order; repeated rows give repeated rows; an empty table gives no rows (the rules then keep their written order); extra columns are
 ignored.
 """
 

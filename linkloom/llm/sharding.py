@@ -9,8 +9,12 @@ Both ranks are found without one task that sees a whole source or the whole tabl
 ``row_number`` runs within a bucket only.  Hashes and fractions are uniform, so buckets are even
 however large one source is.  The texts are read once and never shuffled.
 
+Groups of equal texts are dealt out like other rows: law ``rows`` cannot hold beside a rule that keeps a
+group together which has more rows than a shard.
+
 Edge cases: a null source is a stratum of its own; a null doc_id hashes as null; a null text has
-size 1 and the crc of no bytes; repeated rows are kept, and each gets a slot; an empty table gives
+size 1 and the crc of no bytes; repeated rows are kept, and each gets a slot; rows that tie
+in source, hash, id, size and crc are the same to the result, whichever comes first; texts are only measured, however long; an empty table gives
 no rows; other columns are ignored, whatever their names.
 """
 

@@ -11,7 +11,8 @@ A score depends on the text only.
 Edge cases: null and empty texts have all features 0 and a score like any other; documents without a
 label are scored; labels without a document, and null labels, are left out; with fewer than ``LEAST``
 labelled rows of either kind the score is the share of toxic rows; a null doc_id is not held out;
-repeated rows give repeated rows; an empty table gives no rows; extra columns are ignored.
+very long texts are scored whole; texts with equal features have equal scores; repeated rows give repeated
+rows; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -45,3 +45,17 @@ def test_registered(spark, sf):
 
     names = e.queries()
     assert "pipeline" in names and sorted(int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))) == list(range(1, 11))
+
+
+def test_odd_and_empty_documents(spark, sf, tmp_path):
+    """All stages over nulls, odd and long texts, repeated rows and clashing columns, and over no rows."""
+    odd = H.edge_documents(spark)
+    for name, docs in (("odd", odd), ("empty", H.empty(odd))):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.read.parquet(f"{sf}/benchmark.parquet").write.parquet(str(tmp_path / name / "benchmark.parquet"))
+        for _, stage in P.STAGES[:-1]:
+            docs = stage(spark, docs, str(tmp_path / name))
+            assert docs.columns == odd.columns and docs.dtypes == odd.dtypes
+        packed = P.run(spark, str(tmp_path / name)).collect()
+        # only the long text has fifty words, and it is one word again and again
+        assert packed == []
