@@ -419,7 +419,8 @@ def linked(documents: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tupl
     # the tiles compared members by component, so these links are few and between components
     joined = connected_components(far).withColumnsRenamed({"node": "c", "comp": "least"})
     final = placed.select(F.col("id").alias("node"), "comp").join(joined, F.col("comp") == F.col("c"), "left").select("node", F.coalesce("least", "comp").alias("comp"))
-    return members, final.groupBy("node").agg(F.min("comp").alias("comp"))
+    # a table of its own, so that its join can split a class that many documents share
+    return members, written(final.groupBy("node").agg(F.min("comp").alias("comp")), "final")
 
 
 def components(documents: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
