@@ -69,16 +69,17 @@ def regulation_kind(entry: Column) -> Column:
     return F.when(entry.startswith("21 CFR 5"), "USAnimalDrug").when(entry.rlike("^21 CFR [236]"), "Marketed").otherwise("Other")
 
 
-def _record_events(df: DataFrame, entry: Column, type_: Column) -> DataFrame:
+def _record_events(df: DataFrame, entry: Column, type_: Column, pages: str | None) -> DataFrame:
     kind = F.create_map(*[x for k, (_, v) in RECORD_KINDS.items() for x in (F.lit(k), F.lit(v))])
     place = F.create_map(*[x for k, (v, _) in RECORD_KINDS.items() if v for x in (F.lit(k), F.lit(v))])
-    url = F.concat(F.lit("https://ginas.ncats.nih.gov/ginas/app/substance/"), "unii")
+    url = F.concat(F.lit(pages), "unii")  # null without an address
     return event(df, F.col("entity_id"), kind=F.when(type_ == "CFR", regulation_kind(entry)).otherwise(kind[type_]), source=F.lit("G-SRS"), id=F.col("unii"), comment=type_, product=entry, jurisdiction=place[type_], url=url)
 
 
-def substance_events(df: DataFrame) -> DataFrame:
+def substance_events(df: DataFrame, pages: str | None = None) -> DataFrame:
     """``unii``, ``entries`` (map of record type to its first entry) and ``names``: one event per listed type; one
-    that a name's bracketed suffix tells of takes the place of the record's.  Without an identifier, none."""
+    that a name's bracketed suffix tells of takes the place of the record's.  Without an identifier, none.
+    ``pages``: address before the identifier in an event's url."""
     known = df.filter("unii is not null")
     direct = known.select("entity_id", "unii", F.explode("entries").alias("type", "entry")).filter(F.col("type").isin(*RECORD_KINDS))
     # the text between the last opening and the last closing bracket
@@ -86,7 +87,7 @@ def substance_events(df: DataFrame) -> DataFrame:
     named = known.select("entity_id", "unii", F.posexplode("names").alias("pos", "entry")).withColumn("type", suffix).filter(F.col("type").isin(*RECORD_KINDS) & (F.col("type") != "CFR"))
     named = named.groupBy("entity_id", "unii", "type").agg(F.max_by("entry", "pos").alias("entry"))
     first = direct.join(named.select("entity_id", "type"), ["entity_id", "type"], "left_anti").select("entity_id", "unii", "type", "entry")
-    return _record_events(first.unionByName(named.select("entity_id", "unii", "type", "entry")), F.col("entry"), F.col("type"))
+    return _record_events(first.unionByName(named.select("entity_id", "unii", "type", "entry")), F.col("entry"), F.col("type"), pages)
 
 
 def named_suffixes(df: DataFrame) -> DataFrame:
