@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.operators.components import connected_components
+from linkloom.operators.components import connected_components, incidence_components
 from linkloom.storage import written
 
 #: Order of the guarded merges: a stronger key first.
@@ -92,6 +92,61 @@ def guarded_classes(entities: DataFrame, edges: DataFrame) -> DataFrame:
     return whole.unionByName(entities.groupBy("comp").cogroup(placed.groupBy("within")).applyInPandas(solve, f"entity_id {kind}, cls {kind}"))
 
 
+def guarded_values(entities: DataFrame, inc: DataFrame) -> DataFrame:
+    """(entity_id, cls) as ``guarded_classes`` gives over all pairs of entities that share a value, without the pairs.
+
+    ``entities``: entity_id, guard, is_root; ``inc``: incidence rows.  Entities whose guards differ never merge, so a
+    value none of whose holders lacks a guard is cut by guard before components are made; most hold one guard and one
+    root then and are classes.  In the others an entity meets, of a value's earlier holders, the first of each class:
+    holders of a value that were seen are merged or stay apart for good.  A task holds rows, never pairs.
+    """
+    kind = entities.schema["entity_id"].dataType.simpleString()
+    rows = inc.select("entity_id", "key", "value").distinct().join(entities.select("entity_id", F.col("guard").cast("string").alias("guard")), "entity_id")
+    loose = rows.groupBy("key", "value").agg(F.max(F.col("guard").isNull()).alias("_open"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    cut = F.struct(F.col("value").alias("v"), F.when(F.col("_open"), "").otherwise(F.coalesce("guard", F.lit(""))).alias("g"), "_open")
+    rows = written(rows.join(loose, ["key", "value"]).select("entity_id", "key", cut.alias("value")), "cut")
+    comp = incidence_components(rows)
+    entities = written(entities.select("entity_id", "guard", "is_root").join(comp, "entity_id", "left").withColumn("comp", F.coalesce("comp", "entity_id")), "entities")
+    calm = entities.groupBy("comp").agg(F.count_if("is_root").alias("_r"), F.countDistinct("guard").alias("_g"), F.coalesce(F.min(F.when(F.col("is_root"), F.col("entity_id"))), F.min("entity_id")).alias("cls"))
+    calm = written(calm.select("comp", "cls", ((F.col("_r") <= 1) & (F.col("_g") <= 1)).alias("calm")), "calm")
+    whole = entities.join(calm.filter("calm"), "comp").select("entity_id", "cls")
+    hard = entities.join(calm.filter("not calm").select("comp"), "comp", "left_semi")
+    number = F.coalesce(F.array_position(F.array(*map(F.lit, ORDER)), F.col("key")) - 1, F.lit(-1))
+    rank = F.when(number < 0, len(ORDER)).otherwise(number).cast("int")
+    held = rows.join(hard.select("entity_id", "comp"), "entity_id").select(F.col("comp").alias("within"), "entity_id", rank.alias("rank"), F.xxhash64("key", "value").alias("value"))
+
+    def solve(nodes: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        guard = dict(zip(nodes.entity_id, (None if pd.isna(g) else g for g in nodes.guard)))
+        rooted = dict(zip(nodes.entity_id, nodes.is_root.tolist()))
+        uf = UnionFind(sorted(nodes.entity_id))
+        # of each value the least holder of every class seen, those of classes without a root apart
+        seen: dict = {}
+        rows = rows.sort_values(["rank", "entity_id"])
+        for (_, x), values in rows.groupby(["rank", "entity_id"], sort=False).value:
+            lists = [seen.setdefault(v, ([], [])) for v in values]
+            for free, fixed in lists:
+                for y in [y for y in free if rooted[uf.root(y)]]:
+                    free.remove(y)
+                    fixed.append(y)
+            a = uf.root(x)
+            met = sorted({y for free, fixed in lists for y in (free if rooted[a] else free + fixed)})
+            for y in met:
+                a, b = uf.root(x), uf.root(y)
+                if a == b or (rooted[a] and rooted[b]) or (guard[a] is not None and guard[b] is not None and guard[a] != guard[b]):
+                    continue
+                first = a if rooted[a] or (not rooted[b] and a < b) else b
+                other = b if first == a else a
+                uf.union(first, other, keep_first=True)
+                guard[first] = guard[first] if guard[first] is not None else guard[other]
+            a = uf.root(x)
+            for free, fixed in lists:
+                if all(uf.root(y) != a for y in (fixed if rooted[a] else free)) and not (rooted[a] and any(uf.root(y) == a for y in free)):
+                    (fixed if rooted[a] else free).append(x)
+        return pd.DataFrame({"entity_id": list(uf.parent), "cls": [uf.root(n) for n in uf.parent]})
+
+    return whole.unionByName(hard.groupBy("comp").cogroup(held.groupBy("within")).applyInPandas(lambda x, y: solve(x, y), f"entity_id {kind}, cls {kind}"))
+
+
 def class_root(classes: DataFrame, entities: DataFrame) -> DataFrame:
     """(cls, root, rank): of each class its root entity (is_root first, then the least id) and its size."""
     w = Window.partitionBy("cls").orderBy(F.desc("is_root"), "entity_id")

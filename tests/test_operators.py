@@ -368,3 +368,20 @@ def test_merges_by_score(spark):
     roots = spark.createDataFrame([(1, True), (2, True)], "entity_id long, is_root boolean")
     v = spark.createDataFrame([(1, 4, 9.0, True), (2, 3, 8.0, True), (3, 4, 5.0, True), (5, 6, 1.0, False)], "src long, dst long, score double, accepted boolean")
     assert {r.entity_id: r.cls for r in compound.resolve_by_scores(v, info, roots).collect()} == {1: 1, 4: 1, 2: 2, 3: 2, 5: 5, 6: 6}
+
+
+def test_guarded_values_equal_pairs(spark, sf, monkeypatch):
+    rng = random.Random(5)
+    for n, guards in ((40, ["x", "y", None]), (60, ["x", None]), (60, ["x", "y", "z"]), (50, ["x"])):
+        rows = sorted({(rng.randrange(n), k, f"{k}{rng.randrange(n // 3)}") for _ in range(2 * n) for k in [rng.choice(["I_UNII", "N_Name", "Z_One", "A_Two"])]})
+        inc = spark.createDataFrame(rows, "entity_id long, key string, value string")
+        entities = spark.createDataFrame([(e, rng.choice(guards), rng.random() < 0.4) for e in range(n)], "entity_id long, guard string, is_root boolean")
+        placed = entities.join(components.incidence_components(inc), "entity_id", "left").withColumn("comp", F.coalesce("comp", "entity_id"))
+        want = {tuple(r) for r in resolve.guarded_classes(placed, linking.shared_value_edges(inc)).collect()}
+        assert {tuple(r) for r in resolve.guarded_values(entities, inc).collect()} == want
+
+    def never(*_):
+        raise AssertionError("all pairs")
+
+    monkeypatch.setattr(derived, "shared_value_edges", never)
+    assert derived.untangle(spark, sf).count() == 200 and derived.sgroups(spark, sf).count() > 0
