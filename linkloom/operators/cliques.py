@@ -123,7 +123,49 @@ def component_cliques(edges: DataFrame, comp: DataFrame, least: int = 2) -> Data
             adjacency.setdefault(a, set()).add(b)
             adjacency.setdefault(b, set()).add(a)
         found = list(bron_kerbosch(adjacency, least))
-        return pd.DataFrame({"comp": [rows.comp.iloc[0]] * len(found), "key": [rows.key.iloc[0]] * len(found), "members": found})
+        return pd.DataFrame({"comp": [rows.comp.iloc[0]] * len(found), "key": [rows.key.iloc[0]] * len(found), "members": pd.Series(found, dtype=object)})
 
     kind = comp.schema["comp"].dataType.simpleString()
     return e.groupBy("comp", "key").applyInPandas(solve, f"comp {kind}, key string, members array<{kind}>")
+
+
+def key_cliques(inc: DataFrame, comp: DataFrame, least: int = 2) -> DataFrame:
+    """(comp, key, members) as ``component_cliques`` gives over all pairs that share a value of a key, without the pairs.
+
+    The holders of a value are the clique where none of them shares another value of the key.  Of the rest, entities
+    with the same values have the same neighbours and are in the same cliques, so a task walks one node for each such
+    set of values, one connected graph at a time.
+    """
+    shared = inc.groupBy("key", "value").agg(F.countDistinct("entity_id").alias("_n")).filter("_n > 1").select("key", "value")
+    rows = inc.select("entity_id", "key", "value").distinct().join(shared, ["key", "value"])
+    rows = rows.join(rows.groupBy("entity_id", "key").agg((F.count(F.lit(1)) > 1).alias("_many")), ["entity_id", "key"])
+    mixed = rows.groupBy("key", "value").agg(F.max("_many").alias("_mixed"))
+    rows = written(rows.join(mixed, ["key", "value"]).select("entity_id", "key", "value", "_mixed"), "holders")
+    plain = rows.filter("not _mixed").groupBy("key", "value").agg(F.array_sort(F.collect_list("entity_id")).alias("members")).filter(F.size("members") >= least)
+    plain = plain.withColumn("entity_id", F.col("members")[0]).join(comp, "entity_id").select("comp", "key", "members")
+    twins = rows.filter("_mixed").groupBy("entity_id", "key").agg(F.array_sort(F.collect_list(F.xxhash64("value"))).alias("values")).join(comp, "entity_id").select("comp", "key", "entity_id", "values")
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        members: dict = {}
+        for e, v in zip(rows.entity_id.tolist(), rows["values"]):
+            members.setdefault(tuple(v), []).append(e)
+        holders: dict = {}
+        for t in members:
+            for v in t:
+                holders.setdefault(v, []).append(t)
+        found, done = [], set()
+        for start in members:
+            if start in done:
+                continue
+            part, todo = {}, [start]
+            done.add(start)
+            while todo:
+                t = todo.pop()
+                part[t] = {u for v in t for u in holders[v]} - {t}
+                todo += part[t] - done
+                done |= part[t]
+            found += [c for c in (sorted(e for t in q for e in members[t]) for q in bron_kerbosch(part, 1)) if len(c) >= least]
+        return pd.DataFrame({"comp": [rows.comp.iloc[0]] * len(found), "key": [rows.key.iloc[0]] * len(found), "members": pd.Series(found, dtype=object)})
+
+    kind = comp.schema["comp"].dataType.simpleString()
+    return plain.unionByName(twins.groupBy("comp", "key").applyInPandas(solve, f"comp {kind}, key string, members array<{kind}>"))

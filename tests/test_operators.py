@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from linkloom import model
 from linkloom.functions import keys as K
 from linkloom.operators import cliques, components, compound, curate, editing, events, jobs, linking, neighborhood, paths, reports, resolve, search
-from linkloom.plans import derived
+from linkloom.plans import derived, graph
 from linkloom.sources import formats, loaders, sinks
 from linkloom.streaming import ingest
 
@@ -385,3 +385,20 @@ def test_guarded_values_equal_pairs(spark, sf, monkeypatch):
 
     monkeypatch.setattr(derived, "shared_value_edges", never)
     assert derived.untangle(spark, sf).count() == 200 and derived.sgroups(spark, sf).count() > 0
+
+
+def test_key_cliques_equal_pairs(spark, sf, monkeypatch):
+    rng = random.Random(6)
+    for n, per in ((30, 2), (24, 3), (40, 1)):
+        rows = sorted({(e, k, f"{k}{rng.randrange(n // 3)}") for e in range(n) for k in ("I_CAS", "N_Name") for _ in range(rng.randrange(per + 1))})
+        inc = spark.createDataFrame(rows, "entity_id long, key string, value string")
+        comp = components.incidence_components(inc)
+        for least in (2, 3):
+            want = sorted((r.comp, r.key, tuple(r.members)) for r in cliques.component_cliques(linking.shared_value_edges(inc), comp, least).collect())
+            assert sorted((r.comp, r.key, tuple(r.members)) for r in cliques.key_cliques(inc, comp, least).collect()) == want
+
+    def never(*_):
+        raise AssertionError("all pairs")
+
+    monkeypatch.setattr(graph, "shared_value_edges", never)
+    assert graph.component_cliques(spark, sf).count() > 0
