@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,20 +113,25 @@ def bron_kerbosch(adjacency: dict, least: int = 2) -> Iterator[list]:
             x = x | {v}
 
 
+def clique_rows(group: pa.Table, found: list[list]) -> pa.Table:
+    """The rows (comp, key, members) of the cliques found in a group (comp, key, ...); there may be none."""
+    kind, n = group.schema.field("comp").type, len(found)
+    return pa.table({"comp": pa.array([group["comp"][0].as_py()] * n, kind), "key": pa.array([group["key"][0].as_py()] * n, pa.string()), "members": pa.array(found, pa.list_(kind))})
+
+
 def component_cliques(edges: DataFrame, comp: DataFrame, least: int = 2) -> DataFrame:
     """(comp, key, members): maximal cliques of each component's graph of one key, one component and key a task."""
     e = edges.join(comp.select(F.col("entity_id").alias("src"), "comp"), "src").select("comp", "key", "src", "dst").distinct()
 
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+    def solve(rows: pa.Table) -> pa.Table:
         adjacency: dict = {}
-        for a, b in zip(rows.src.tolist(), rows.dst.tolist()):
+        for a, b in zip(rows["src"].to_pylist(), rows["dst"].to_pylist()):
             adjacency.setdefault(a, set()).add(b)
             adjacency.setdefault(b, set()).add(a)
-        found = list(bron_kerbosch(adjacency, least))
-        return pd.DataFrame({"comp": [rows.comp.iloc[0]] * len(found), "key": [rows.key.iloc[0]] * len(found), "members": pd.Series(found, dtype=object)})
+        return clique_rows(rows, list(bron_kerbosch(adjacency, least)))
 
     kind = comp.schema["comp"].dataType.simpleString()
-    return e.groupBy("comp", "key").applyInPandas(solve, f"comp {kind}, key string, members array<{kind}>")
+    return e.groupBy("comp", "key").applyInArrow(solve, f"comp {kind}, key string, members array<{kind}>")
 
 
 def key_cliques(inc: DataFrame, comp: DataFrame, least: int = 2) -> DataFrame:
@@ -145,9 +150,9 @@ def key_cliques(inc: DataFrame, comp: DataFrame, least: int = 2) -> DataFrame:
     plain = plain.withColumn("entity_id", F.col("members")[0]).join(comp, "entity_id").select("comp", "key", "members")
     twins = rows.filter("_mixed").groupBy("entity_id", "key").agg(F.array_sort(F.collect_list(F.xxhash64("value"))).alias("values")).join(comp, "entity_id").select("comp", "key", "entity_id", "values")
 
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+    def solve(rows: pa.Table) -> pa.Table:
         members: dict = {}
-        for e, v in zip(rows.entity_id.tolist(), rows["values"]):
+        for e, v in zip(rows["entity_id"].to_pylist(), rows["values"].to_pylist()):
             members.setdefault(tuple(v), []).append(e)
         holders: dict = {}
         for t in members:
@@ -165,7 +170,7 @@ def key_cliques(inc: DataFrame, comp: DataFrame, least: int = 2) -> DataFrame:
                 todo += part[t] - done
                 done |= part[t]
             found += [c for c in (sorted(e for t in q for e in members[t]) for q in bron_kerbosch(part, 1)) if len(c) >= least]
-        return pd.DataFrame({"comp": [rows.comp.iloc[0]] * len(found), "key": [rows.key.iloc[0]] * len(found), "members": pd.Series(found, dtype=object)})
+        return clique_rows(rows, found)
 
     kind = comp.schema["comp"].dataType.simpleString()
-    return plain.unionByName(twins.groupBy("comp", "key").applyInPandas(solve, f"comp {kind}, key string, members array<{kind}>"))
+    return plain.unionByName(twins.groupBy("comp", "key").applyInArrow(solve, f"comp {kind}, key string, members array<{kind}>"))
