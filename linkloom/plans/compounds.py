@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.operators import compound as R
+from linkloom.operators import twins as T
 from linkloom.operators.components import incidence_components
 from linkloom.plans.registry import query
 from linkloom.sources.views import table
@@ -114,10 +115,7 @@ def unsure_votes(spark: SparkSession, d: str) -> DataFrame:
 def stitch_verdicts(spark: SparkSession, d: str) -> DataFrame:
     """Pairs scored by the number of values they share, with a threshold of three."""
     info, _, _, inc = compounds(spark, d)
-    a, b = inc.withColumnRenamed("entity_id", "src"), inc.withColumnRenamed("entity_id", "dst")
-    pairs = a.join(b, ["key", "value"]).filter("src > dst").groupBy("src", "dst").agg(F.collect_set("key").alias("keys"), F.collect_list(F.when(F.col("key") == "H_LyChI_L4", F.col("value"))).alias("l4"), F.count(F.lit(1)).cast("double").alias("score"))
-    of = lambda c: info.select(F.col("entity_id").alias(c), F.col("l4").alias(f"{c}_l4"))
-    return R.stitch_verdicts(pairs.join(of("src"), "src").join(of("dst"), "dst"), F.lit(3.0))
+    return T.value_verdicts(inc, info, F.lit(3.0))
 
 
 @query()

@@ -418,3 +418,27 @@ def test_similarity_of_twins_equals_pairs(spark, sf, monkeypatch):
 
     monkeypatch.setattr(graph, "shared_value_edges", never)
     assert graph.struct_similarity(spark, sf).count() >= graph.struct_neighbors(spark, sf).count() > 0
+
+
+def test_verdicts_of_classes_equal_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = sorted({(e, k, f"{k}{rng.randrange(m)}{rng.choice(['-S', '-N'])}") for e in range(60) for k, m in (("I_CAS", 2), ("H_LyChI_L4", 3), ("I_UNII", 12), ("N_Name", 3)) for _ in range(rng.randrange(3))})
+    inc = spark.createDataFrame(rows, "entity_id long, key string, value string")
+    info = spark.createDataFrame([(e, sorted(v for x, k, v in rows if x == e and k == "H_LyChI_L4")) for e in range(60)], "entity_id long, l4 array<string>")
+    a, b = inc.withColumnRenamed("entity_id", "src"), inc.withColumnRenamed("entity_id", "dst")
+    pairs = a.join(b, ["key", "value"]).filter("src > dst").groupBy("src", "dst").agg(F.collect_set("key").alias("keys"), F.collect_list(F.when(F.col("key") == "H_LyChI_L4", F.col("value"))).alias("l4"), F.count(F.lit(1)).cast("double").alias("score"))
+    of = lambda c: info.select(F.col("entity_id").alias(c), F.col("l4").alias(f"{c}_l4"))
+    want = {tuple(r) for r in compound.stitch_verdicts(pairs.join(of("src"), "src").join(of("dst"), "dst"), F.lit(3.0)).collect()}
+    monkeypatch.setattr(twins, "BLOCK", 2)
+    for few in (0, 5, 10**6):
+        got = [tuple(r) for r in twins.value_verdicts(inc, info, F.lit(3.0), few).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_rarest_structure_of_many_equal(spark):
+    n = 20_000
+    info = spark.range(n).select(F.col("id").alias("entity_id"), F.array(F.lit("salt-S")).alias("l4"))
+    inc = info.select("entity_id", F.lit("H_LyChI_L4").alias("key"), F.lit("salt-S").alias("value"))
+    none = spark.createDataFrame([], "l4 string, targets array<long>")
+    got = {r.src: (r.dst, r.edges) for r in compound.rarest_structure(info, inc, info, none).collect()}
+    assert got == {e: (0 if e else 1, n * (n - 1) // 2) for e in range(n)}
