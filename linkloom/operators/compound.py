@@ -147,20 +147,37 @@ def rarest_structure(open_: DataFrame, inc: DataFrame, info: DataFrame, holders:
     Compatible: besides the shared hashes both sides hold salts or solvents only, and where the neighbour's
     hashes are those of an active moiety, so are the shared ones.  Metals come first, then values with fewer
     edges, then the least neighbour.
+
+    Entities with the same hashes form a class, and classes are paired: of each the two least members stand for
+    all, as an entity leaves out itself only.  A class with a hash other than salts meets only what has it too.
     """
-    l4 = inc.filter("key = 'H_LyChI_L4'").select("entity_id", "value")
-    counts = l4.groupBy("value").agg(F.expr("count(1) * (count(1) - 1) div 2").alias("edges")).filter("edges > 0")
-    mine = l4.join(open_.select("entity_id"), "entity_id", "left_semi").join(counts, "value").withColumnRenamed("entity_id", "src")
-    shared = mine.join(l4.withColumnRenamed("entity_id", "dst"), "value").filter("src <> dst").groupBy("src", "dst").agg(F.array_sort(F.collect_set("value")).alias("shared"), F.min("edges").alias("edges"))
-    of = lambda c: info.select(F.col("entity_id").alias(c), F.col("l4").alias(f"{c}_l4"), F.concat_ws(":", F.array_sort("l4")).alias(f"{c}_key"))
-    j = shared.join(of("src"), "src").join(of("dst"), "dst").filter(only_ends("src_l4", "shared", "-S") & only_ends("dst_l4", "shared", "-S"))
+    l4 = inc.filter("key = 'H_LyChI_L4'").select("entity_id", "value").distinct()
+    counts = l4.groupBy("value").agg(F.expr("count(1) * (count(1) - 1) div 2").alias("edges"))
+    own = l4.join(counts, "value").groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("value", "edges"))).alias("have")).join(info.select("entity_id", "l4").filter("l4 is not null"), "entity_id")
+    own = written(own.select("entity_id", "have", F.array_sort("l4").alias("l4")), "own")
+    classes = written(own.groupBy("have", "l4").agg(F.min("entity_id").alias("cls")), "equal")
+    members = written(own.join(classes, ["have", "l4"]).select("entity_id", "cls"), "members")
+    ends = members.groupBy("cls").agg(F.min("entity_id").alias("first"), F.min(F.when(F.col("entity_id") != F.col("cls"), F.col("entity_id"))).alias("second"))
+    mine = members.join(open_.select("entity_id"), "entity_id", "left_semi").withColumnRenamed("cls", "s")
+    values = F.transform("have", lambda x: x["value"])
+    fixed = F.filter("l4", lambda v: ~v.endswith("-S"))
+    asks = classes.join(mine.select(F.col("s").alias("cls")).distinct(), "cls").withColumns({"values": values, "_fixed": F.size(fixed) > 0, "probes": F.when(F.size(fixed) > 0, F.slice(fixed, 1, 1)).otherwise(values)})
+    asks = asks.select(F.col("cls").alias("s"), F.col("have").alias("src_have"), F.col("values").alias("src_values"), F.col("l4").alias("src_l4"), "_fixed", F.explode("probes").alias("v"))
+    holds = classes.select(F.col("cls").alias("d"), values.alias("dst_values"), F.col("l4").alias("dst_l4"), F.concat_ws(":", "l4").alias("dst_key")).withColumn("v", F.explode("dst_values"))
+    met = asks.join(holds, "v").withColumn("shared", F.array_intersect("src_values", "dst_values"))
+    met = met.filter((F.col("_fixed") | (F.col("v") == F.col("shared")[0])) & F.array_contains("shared", F.col("v")) & only_ends("src_l4", "shared", "-S") & only_ends("dst_l4", "shared", "-S"))
+    edges = F.array_min(F.transform(F.filter("src_have", lambda x: F.array_contains("shared", x["value"])), lambda x: x["edges"]))
+    j = written(met.select("s", "d", "shared", "dst_key", F.concat_ws(":", "shared").alias("shared_key"), edges.alias("edges")), "compatible")
     known = lambda c, name: holders.select(F.col("l4").alias(c), F.col("targets").alias(name))
-    j = j.withColumn("shared_key", F.concat_ws(":", "shared")).join(known("dst_key", "su"), "dst_key", "left").join(known("shared_key", "sv"), "shared_key", "left")
-    parts = j.filter(F.size("shared") > 1).select("src", "dst", "su", F.explode("shared").alias("one_key")).join(known("one_key", "s1"), "one_key").filter(F.size(F.array_except("s1", "su")) == 0).select("src", "dst", F.lit(True).alias("part")).distinct()
-    j = j.join(parts, ["src", "dst"], "left").filter(F.col("su").isNull() | F.coalesce(F.arrays_overlap("su", "sv"), F.lit(False)) | F.coalesce("part", F.lit(False)))
+    j = j.join(known("dst_key", "su"), "dst_key", "left").join(known("shared_key", "sv"), "shared_key", "left")
+    parts = j.filter(F.size("shared") > 1).select("s", "d", "su", F.explode("shared").alias("one_key")).join(known("one_key", "s1"), "one_key").filter(F.size(F.array_except("s1", "su")) == 0).select("s", "d", F.lit(True).alias("part")).distinct()
+    j = j.join(parts, ["s", "d"], "left").filter(F.col("su").isNull() | F.coalesce(F.arrays_overlap("su", "sv"), F.lit(False)) | F.coalesce("part", F.lit(False)))
     metal = F.exists("shared", lambda v: v.endswith("-M"))
-    w = Window.partitionBy("src").orderBy(F.desc(metal), "edges", "dst")
-    return j.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("src", "dst", "edges")
+    near = j.select("s", "edges", metal.alias("metal"), F.col("d").alias("cls")).join(ends, "cls").select("s", "edges", "metal", F.explode(F.array("first", "second")).alias("dst")).dropna(subset=["dst"])
+    w = Window.partitionBy("s").orderBy(F.desc("metal"), "edges", "dst")
+    best = near.withColumn("_r", F.row_number().over(w)).filter("_r <= 2")
+    each = mine.select(F.col("entity_id").alias("src"), "s").join(best, "s").filter("src <> dst").groupBy("src").agg(F.min(F.struct("_r", "dst", "edges")).alias("o"))
+    return each.select("src", "o.dst", "o.edges")
 
 
 def rarest_pairs(best: DataFrame, classes: DataFrame) -> DataFrame:
