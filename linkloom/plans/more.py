@@ -19,7 +19,8 @@ from linkloom.operators import resolve as V
 from linkloom.operators.linking import manual_values as manual_values_of
 from linkloom.operators.linking import shared_value_edges
 from linkloom.operators.neighborhood import both_ways
-from linkloom.plans.compounds import CP_SQL, compounds, stitch_verdicts
+from linkloom.operators.twins import classes_by_scores
+from linkloom.plans.compounds import CP_SQL, compounds
 from linkloom.plans.derived import EVENTS_SQL, order_events
 from linkloom.plans.links import EDGES_SQL
 from linkloom.plans.registry import query
@@ -340,5 +341,5 @@ def value_classes(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def scored_classes(spark: SparkSession, d: str) -> DataFrame:
-    info, _, links, _ = compounds(spark, d)
-    return K.resolve_by_scores(stitch_verdicts(spark, d), info, K.active_roots(info, links))
+    info, _, links, inc = compounds(spark, d)
+    return classes_by_scores(inc, info, K.active_roots(info, links), F.lit(3.0))

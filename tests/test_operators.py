@@ -442,3 +442,15 @@ def test_rarest_structure_of_many_equal(spark):
     none = spark.createDataFrame([], "l4 string, targets array<long>")
     got = {r.src: (r.dst, r.edges) for r in compound.rarest_structure(info, inc, info, none).collect()}
     assert got == {e: (0 if e else 1, n * (n - 1) // 2) for e in range(n)}
+
+
+def test_classes_by_scores_equal_pairs(spark):
+    rng = random.Random(9)
+    for n, few in ((60, 0), (80, 6), (60, 10**6)):
+        rows = sorted({(e, k, f"{k}{rng.randrange(m)}{rng.choice(['-S', '-N'])}") for e in range(n) for k, m in (("I_CAS", 4), ("H_LyChI_L4", 12), ("I_UNII", 20), ("N_Name", 5)) for _ in range(rng.randrange(3))})
+        inc = spark.createDataFrame(rows, "entity_id long, key string, value string")
+        info = spark.createDataFrame([(e, sorted(v for x, k, v in rows if x == e and k == "H_LyChI_L4"), [rng.choice("ab")] if rng.random() < 0.4 else None) for e in range(n)], "entity_id long, l4 array<string>, active array<string>")
+        roots = spark.createDataFrame([(e, rng.random() < 0.2) for e in range(n)], "entity_id long, is_root boolean")
+        want = {tuple(r) for r in compound.resolve_by_scores(twins.value_verdicts(inc, info, F.lit(3.0)), info, roots).collect()}
+        got = [tuple(r) for r in twins.classes_by_scores(inc, info, roots, F.lit(3.0), few).collect()]
+        assert len(got) == len(want) and set(got) == want and len({c for _, c in want}) > 2
