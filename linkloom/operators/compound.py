@@ -28,6 +28,8 @@ NEAR = ["N_Name", "I_CAS", "I_DB", "I_ChEMBL"]
 STRUCTURE = ["H_LyChI_L3", "H_LyChI_L4", "H_LyChI_L5"]
 #: A mapped neighbour is not joined over a value with so many edges.
 MOST_EDGES = 1000
+#: Members of groups with a conflict that a task walks at once, about; a larger group is not cut.
+LOT = 20_000
 
 
 def covered(unii: str = "unii", active: str = "active") -> Column:
@@ -101,9 +103,11 @@ def guarded(classes: DataFrame, pairs: DataFrame, info: DataFrame, roots: DataFr
         keep = sorted(moved | mapped)
         return pd.DataFrame({"node": pd.Series(keep, dtype=members.node.dtype), "name": pd.Series([uf.root(n) for n in keep], dtype=members.node.dtype)})
 
-    hard = groups.filter("conflict").select("comp")
-    links = p.join(comp, F.col("a") == F.col("node")).join(hard, "comp").select(F.col("comp").alias("within"), "rank", "src", "dst", "src_cls", "dst_cls", "a", "b", "src_active", "dst_active")
-    walked = links.groupBy("within").cogroup(nodes.join(hard, "comp").groupBy("comp")).applyInPandas(lambda x, y: walk(x, y), f"node {kind}, name {kind}")
+    # groups touch nothing of each other, so a task walks many small ones at once
+    hard = nodes.join(groups.filter("conflict").select("comp"), "comp")
+    lot = F.pmod(F.xxhash64("comp"), F.lit(1 + hard.count() // LOT))
+    links = p.join(comp, F.col("a") == F.col("node")).join(groups.filter("conflict").select("comp"), "comp").select(lot.alias("within"), "rank", "src", "dst", "src_cls", "dst_cls", "a", "b", "src_active", "dst_active")
+    walked = links.groupBy("within").cogroup(hard.select("node", "is_root", lot.alias("within")).groupBy("within")).applyInPandas(lambda x, y: walk(x, y), f"node {kind}, name {kind}")
     names = written(free.unionByName(walked), "names")
     old = classes.join(names, F.col("cls") == F.col("node"), "left").select("entity_id", F.coalesce("name", "cls").alias("cls"))
     new = names.join(classes.select(F.col("cls").alias("node")).distinct(), "node", "left_anti").select(F.col("node").alias("entity_id"), F.col("name").alias("cls"))

@@ -454,3 +454,16 @@ def test_classes_by_scores_equal_pairs(spark):
         want = {tuple(r) for r in compound.resolve_by_scores(twins.value_verdicts(inc, info, F.lit(3.0)), info, roots).collect()}
         got = [tuple(r) for r in twins.classes_by_scores(inc, info, roots, F.lit(3.0), few).collect()]
         assert len(got) == len(want) and set(got) == want and len({c for _, c in want}) > 2
+
+
+def test_small_conflicts_are_walked_together(spark, monkeypatch):
+    n = 400
+    rows = [(3 * i + j, None, ["x"] if j == 2 else None, []) for i in range(n) for j in range(3)]
+    info = spark.createDataFrame(rows, "entity_id long, unii array<string>, active array<string>, l4 array<string>")
+    roots = spark.createDataFrame([(3 * i + j, j < 2) for i in range(n) for j in range(3)], "entity_id long, is_root boolean")
+    classes = info.filter("entity_id % 3 < 2").select("entity_id", F.col("entity_id").alias("cls"))
+    pairs = spark.createDataFrame([p for i in range(n) for p in ((3 * i + 1, 3 * i), (3 * i + 2, 3 * i + 1))], "src long, dst long")
+    want = {3 * i + j: 3 * i + min(j, 1) for i in range(n) for j in range(3)}
+    for lot in (50, 10**6):
+        monkeypatch.setattr(compound, "LOT", lot)
+        assert {r.entity_id: r.cls for r in compound.guarded(classes, pairs, info, roots).collect()} == want
