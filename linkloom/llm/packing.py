@@ -23,15 +23,17 @@ rows; rows that repeat a doc_id are packed each; a null doc_id stays null; extra
 from __future__ import annotations
 
 import bisect
+import gc
 import os
 import random
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +44,9 @@ LENGTH, END = 4096, 1
 GROUP, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4_000, 2, 2, 4, 4
 #: A bin below this share of the length is packed once more.
 POOR = 0.97
-MOST_WORDS = 700_000
+MOST_WORDS = 1_000_000
+#: Texts that are tokenised at once, about.
+TEXT_BYTES = 4 << 20
 
 
 def tokenizer_path() -> str:
@@ -51,13 +55,31 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Recent(dict):
+    """word -> ids, of the words asked for last: at half of ``MOST_WORDS`` all grow old, and those not asked for again go."""
+
+    def __init__(self):
+        self.old: dict = {}
+
+    def missing(self, words: Iterable) -> list:
+        """Words without ids; those that have some stay until the next call."""
+        if len(self) > MOST_WORDS // 2:
+            self.old = dict(self)
+            self.clear()
+        new = [w for w in words if w not in self]
+        kept = {w: ids for w in new if (ids := self.old.get(w)) is not None}
+        self.update(kept)
+        return [w for w in new if w not in kept]
+
+
 class Ids:
     """text (bytes) -> little-endian 32-bit ids (bytes), by words between ASCII white space.
 
     Unknown words are encoded many at a time.  Words of plain Latin text are cut into the letter runs,
     digits and symbol runs that the tokenizer itself cuts them into, since fewer of those are unknown;
     the token that ends each is marked in the vocabulary.  Between other words stands a private
-    character, whose ids show where one word's ids end.
+    character, whose ids show where one word's ids end.  Texts are cut, and their words' ids laid side
+    by side, by Arrow; each word is looked up once in a call, however often it stands in the texts.
     """
 
     MARK = "\ue000"
@@ -70,8 +92,7 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.known, self.parts = Recent(), Recent()
         self.mark = np.array(self.encode(self.MARK), "<u4")
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -90,35 +111,53 @@ class Ids:
         raw = ids.tobytes()
         self.known.update(zip(words, [raw[4 * a : 4 * b] for a, b in zip([0, *(end[:-1] + k).tolist()], end.tolist())], strict=True))
 
-    def learn_plain(self, words: dict[bytes, str]) -> None:
-        if len(self.parts) > MOST_WORDS:
-            self.parts.clear()
-        cut = {w: self.PARTS.findall(t.lower()) for w, t in words.items()}
-        new = list({p for parts in cut.values() for p in parts}.difference(self.parts))
+    def learn_plain(self, words: list[bytes], texts: list[str]) -> None:
+        # a word of letters is one part
+        cut = [low if (low := t.lower()).isalpha() else tuple(self.PARTS.findall(low)) for t in texts]
+        several = [parts for parts in cut if type(parts) is tuple]
+        new = self.parts.missing({parts for parts in cut if type(parts) is str}.union(*several))
         for a in range(0, len(new), 5_000):
             part = new[a : a + 5_000]
             ids = np.array(self.encode(" ".join(part)), "<u4")
             end = np.flatnonzero(self.ends[ids]) + 1
             raw = ids.tobytes()
             self.parts.update(zip(part, [raw[4 * a : 4 * b] for a, b in zip([0, *end[:-1].tolist()], end.tolist())], strict=True))
-        self.known.update((w, b"".join(map(self.parts.__getitem__, parts))) for w, parts in cut.items())
+        of = self.parts.__getitem__
+        self.known.update(zip(words, [of(parts) if type(parts) is str else b"".join(map(of, parts)) for parts in cut]))
 
     def of(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
-        if len(self.known) > MOST_WORDS:
-            self.known.clear()
-        new = set().union(*words).difference(self.known)
-        plain = {w: t for w in new if self.PLAIN.fullmatch(t := w.decode()) and "<|" not in t}
-        self.learn_plain(plain)
-        new.difference_update(plain)
+        gc.disable()  # nothing made here is cyclic, and the words are many
+        try:
+            return self.joined(texts)
+        finally:
+            gc.enable()
+
+    def joined(self, texts: list[bytes]) -> list[bytes]:
+        lists = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        codes = pc.dictionary_encode(lists.flatten())
+        # white space stands in no word; an empty one is looked up as what it is
+        words = pc.binary_join(pa.ListArray.from_arrays([0, len(codes.dictionary)], codes.dictionary), pa.scalar(" ", pa.large_string()))[0].as_py().encode().split(b" ")
+        new = self.known.missing(words)
+        seen = b" ".join(new).decode().split(" ") if new else []
+        plain = [self.PLAIN.fullmatch(t) is not None and "<|" not in t for t in seen]
+        self.learn_plain([w for w, p in zip(new, plain) if p], [t for t, p in zip(seen, plain) if p])
         mark = self.MARK.encode()
-        odd = [w for w in new if mark in w]
-        for w in odd:
-            self.known[w] = np.array(self.encode(w.decode()), "<u4").tobytes()
-        rest = list(new.difference(odd))
+        rest = []
+        for w in (w for w, p in zip(new, plain) if not p):
+            if mark in w:
+                self.known[w] = np.array(self.encode(w.decode()), "<u4").tobytes()
+            else:
+                rest.append(w)
         for a in range(0, len(rest), 5_000):
             self.learn(rest[a : a + 5_000])
-        return [b"".join(map(self.known.__getitem__, w)) for w in words]
+        own = list(map(self.known.__getitem__, words))
+        ends = np.cumsum([0, *map(len, own)])
+        own = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(own), [None, pa.py_buffer(ends), pa.py_buffer(b"".join(own))])
+        ids = own.take(codes.indices)
+        _, ends, raw = ids.buffers()
+        at = np.frombuffer(ends, np.int64)[lists.offsets.to_numpy()].tolist()
+        raw = memoryview(raw or b"")
+        return [bytes(raw[a:b]) for a, b in zip(at, at[1:])]
 
 
 @cache
@@ -136,7 +175,7 @@ def pieces(documents: DataFrame, path: str | None = None, length: int = LENGTH)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = ids_of(path)
         end = END.to_bytes(4, "little")
-        for batch, texts in row_groups(batches):
+        for batch, texts in row_groups(batches, TEXT_BYTES):
             rows = []
             for doc_id, raw in zip(batch.column(0).to_pylist(), ids.of(texts)):
                 raw += end

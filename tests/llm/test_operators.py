@@ -305,6 +305,20 @@ def test_packing(spark, sf, odd):
     assert packing.pack(H.empty(docs)).count() == 0
 
 
+
+def test_words_asked_for_stay_known(monkeypatch):
+    monkeypatch.setattr(packing, "MOST_WORDS", 100)
+    ids, learned = packing.Ids(packing.tokenizer_path()), []
+    encode = ids.encode
+    monkeypatch.setattr(ids, "encode", lambda text: (learned.extend(text.split(" ")), encode(text))[1])
+    for k in range(8):
+        new = " ".join("ab" + "".join(chr(97 + int(c)) for c in f"{60 * k + i:03d}") for i in range(60))
+        texts = [f"\tthe {new}\u00a0x \x0b the", "", " \n", "the\x1cthe l'été\r\n1a\x0c_b \ue000 <|x|>  the", new]
+        assert [np.frombuffer(x, "<u4").tolist() for x in ids.of([t.encode() for t in texts])] == [encode(t) for t in texts]
+    assert learned.count("the") == 1
+    assert ids.of([]) == []
+
+
 def test_crossover_keeps_items():
     rng = random.Random(2)
     sizes = [rng.randrange(1, 60) for _ in range(300)]
