@@ -30,6 +30,7 @@ import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -61,15 +62,17 @@ class Recent(dict):
     def __init__(self):
         self.old: dict = {}
 
-    def missing(self, words: Iterable) -> list:
-        """Words without ids; those that have some stay until the next call."""
+    def age(self) -> None:
         if len(self) > MOST_WORDS // 2:
             self.old = dict(self)
             self.clear()
-        new = [w for w in words if w not in self]
-        kept = {w: ids for w in new if (ids := self.old.get(w)) is not None}
-        self.update(kept)
-        return [w for w in new if w not in kept]
+
+    def missing(self, words: Iterable) -> list:
+        """Words without ids; those that have some stay until ``age`` is called."""
+        new = list(filterfalse(self.__contains__, words))
+        again = list(filter(self.old.__contains__, new))
+        self.update(zip(again, map(self.old.__getitem__, again)))
+        return list(filterfalse(self.old.__contains__, new)) if again else new
 
 
 class Ids:
@@ -77,9 +80,9 @@ class Ids:
 
     Unknown words are encoded many at a time.  Words of plain Latin text are cut into the letter runs,
     digits and symbol runs that the tokenizer itself cuts them into, since fewer of those are unknown;
-    the token that ends each is marked in the vocabulary.  Between other words stands a private
-    character, whose ids show where one word's ids end.  Texts are cut, and their words' ids laid side
-    by side, by Arrow; each word is looked up once in a call, however often it stands in the texts.
+    the token that ends each is marked in the vocabulary.  A part has the ids that it has as a word, so
+    both are known by one name.  Between other words stands a private character, whose ids show where
+    one word's ids end.  Texts are cut, and their words' ids laid side by side, by Arrow; each word is looked up once in a call, however often it stands in the texts.
     """
 
     MARK = "\ue000"
@@ -92,7 +95,7 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known, self.parts = Recent(), Recent()
+        self.known = Recent()
         self.mark = np.array(self.encode(self.MARK), "<u4")
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -112,18 +115,28 @@ class Ids:
         self.known.update(zip(words, [raw[4 * a : 4 * b] for a, b in zip([0, *(end[:-1] + k).tolist()], end.tolist())], strict=True))
 
     def learn_plain(self, words: list[bytes], texts: list[str]) -> None:
-        # a word of letters is one part
-        cut = [low if (low := t.lower()).isalpha() else tuple(self.PARTS.findall(low)) for t in texts]
-        several = [parts for parts in cut if type(parts) is tuple]
-        new = self.parts.missing({parts for parts in cut if type(parts) is str}.union(*several))
+        cut: list[bytes | list[bytes]] = []  # a word of letters is one part
+        new, others = set(), set()
+        for w, t in zip(words, texts):
+            low = t.lower()
+            if not low.isalpha():
+                cut.append(parts := [p.encode() for p in self.PARTS.findall(low)])
+                others.update(parts)
+            elif low == t:
+                cut.append(w)
+                new.add(w)
+            else:
+                cut.append(part := low.encode())
+                others.add(part)
+        new = [*new, *self.known.missing(others - new)]
         for a in range(0, len(new), 5_000):
             part = new[a : a + 5_000]
-            ids = np.array(self.encode(" ".join(part)), "<u4")
+            ids = np.array(self.encode(b" ".join(part).decode()), "<u4")
             end = np.flatnonzero(self.ends[ids]) + 1
             raw = ids.tobytes()
-            self.parts.update(zip(part, [raw[4 * a : 4 * b] for a, b in zip([0, *end[:-1].tolist()], end.tolist())], strict=True))
-        of = self.parts.__getitem__
-        self.known.update(zip(words, [of(parts) if type(parts) is str else b"".join(map(of, parts)) for parts in cut]))
+            self.known.update(zip(part, [raw[4 * a : 4 * b] for a, b in zip([0, *end[:-1].tolist()], end.tolist())], strict=True))
+        of = self.known.__getitem__
+        self.known.update(zip(words, [of(parts) if type(parts) is bytes else b"".join(map(of, parts)) for parts in cut]))
 
     def of(self, texts: list[bytes]) -> list[bytes]:
         gc.disable()  # nothing made here is cyclic, and the words are many
@@ -131,12 +144,14 @@ class Ids:
             return self.joined(texts)
         finally:
             gc.enable()
+            pa.default_memory_pool().release_unused()  # else Arrow keeps what a call took, beside the words
 
     def joined(self, texts: list[bytes]) -> list[bytes]:
         lists = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
         codes = pc.dictionary_encode(lists.flatten())
         # white space stands in no word; an empty one is looked up as what it is
         words = pc.binary_join(pa.ListArray.from_arrays([0, len(codes.dictionary)], codes.dictionary), pa.scalar(" ", pa.large_string()))[0].as_py().encode().split(b" ")
+        self.known.age()
         new = self.known.missing(words)
         seen = b" ".join(new).decode().split(" ") if new else []
         plain = [self.PLAIN.fullmatch(t) is not None and "<|" not in t for t in seen]

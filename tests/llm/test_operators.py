@@ -319,6 +319,14 @@ def test_words_asked_for_stay_known(monkeypatch):
     assert ids.of([]) == []
 
 
+def test_words_and_their_parts_are_known_once():
+    ids = packing.Ids(packing.tokenizer_path())
+    text = "letters letters, Letters beta beta-letters 12"
+    assert np.frombuffer(ids.of([text.encode()])[0], "<u4").tolist() == ids.encode(text)
+    names = [k if isinstance(k, bytes) else k.encode() for held in vars(ids).values() if isinstance(held, packing.Recent) for k in held]
+    assert len(names) == len(set(names)) and {b"letters", b"letters,", b"beta"} <= set(names)
+
+
 def test_crossover_keeps_items():
     rng = random.Random(2)
     sizes = [rng.randrange(1, 60) for _ in range(300)]
