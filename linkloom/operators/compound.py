@@ -264,13 +264,24 @@ def stitch_verdicts(pairs: DataFrame, threshold: Column) -> DataFrame:
     than salt or solvent.  With only layer 3 in common the score counts a third.  Else more keys than the least
     number and a score of the threshold are needed.
     """
+    score, accepted = verdict(threshold)
+    return pairs.select("src", "dst", score.alias("score"), accepted.alias("accepted"))
+
+
+def verdict(threshold: Column) -> tuple[Column, Column]:
+    """(score, accepted) of a row as ``stitch_verdicts`` takes them."""
     has = lambda k: F.array_contains("keys", k)
     left = F.concat(F.array_except("src_l4", "l4"), F.array_except("dst_l4", "l4"))
-    fits = ~F.exists(left, lambda v: v.endswith("-N") | v.endswith("-M"))
+    fits = ~F.exists(left, fixed)
     override = has("H_LyChI_L5") | (has("H_LyChI_L4") & fits)
     least = F.when(has("H_LyChI_L5") | (has("H_LyChI_L4") & fits), 1).otherwise(2)
     score = F.when(~has("H_LyChI_L5") & ~has("H_LyChI_L4") & has("H_LyChI_L3"), F.col("score") / 3.0).otherwise(F.col("score"))
-    return pairs.select("src", "dst", score.alias("score"), (override | ((F.size("keys") > least) & (score >= threshold))).alias("accepted"))
+    return score, override | ((F.size("keys") > least) & (score >= threshold))
+
+
+def fixed(v: Column) -> Column:
+    """Whether a layer-4 hash is neither salt nor solvent."""
+    return v.endswith("-N") | v.endswith("-M")
 
 
 def resolve_by_scores(verdicts: DataFrame, info: DataFrame, roots: DataFrame) -> DataFrame:

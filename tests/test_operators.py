@@ -456,6 +456,31 @@ def test_verdicts_of_classes_equal_pairs(spark, monkeypatch):
         assert len(got) == len(want) and set(got) == want
 
 
+def test_verdicts_are_made_where_a_value_lies(spark, monkeypatch):
+    rng = random.Random(12)
+    kinds = (("I_CAS", 3), ("H_LyChI_L3", 4), ("H_LyChI_L4", 5), ("H_LyChI_L5", 9), ("N_Name", 4))
+    rows = sorted({(e, k, f"{rng.randrange(m)}{rng.choice(['-S', '-N'])}") for e in range(90) for k, m in kinds for _ in range(rng.randrange(3))} | {(e, "I_CAS", "all") for e in range(90, 130)})
+    inc = spark.createDataFrame(rows, "entity_id long, key string, value string")
+    # some state a hash that they do not hold, some nothing at all
+    stated = lambda e: None if e % 11 == 5 else [v for x, k, v in rows if x == e and k == "H_LyChI_L4"] + ["9-N"] * (e % 9 == 0)
+    info = spark.createDataFrame([(e, stated(e)) for e in range(130)], "entity_id long, l4 array<string>")
+    a, b = inc.withColumnRenamed("entity_id", "src"), inc.withColumnRenamed("entity_id", "dst")
+    pairs = a.join(b, ["key", "value"]).filter("src > dst").groupBy("src", "dst").agg(F.collect_set("key").alias("keys"), F.collect_list(F.when(F.col("key") == "H_LyChI_L4", F.col("value"))).alias("l4"), F.count(F.lit(1)).cast("double").alias("score"))
+    of = lambda c: info.select(F.col("entity_id").alias(c), F.col("l4").alias(f"{c}_l4"))
+    want = {tuple(r) for r in compound.stitch_verdicts(pairs.join(of("src"), "src").join(of("dst"), "dst"), F.lit(3.0)).collect()}
+    assert {accepted for *_, accepted in want} == {True, False, None}
+
+    def never(*_, **__):
+        raise AssertionError("pairs of classes are shuffled")
+
+    monkeypatch.setattr(twins, "between", never)
+    for block, together in ((1000, 4_000_000), (2, 100)):
+        monkeypatch.setattr(twins, "BLOCK", block)
+        monkeypatch.setattr(twins, "PAIRS", together)
+        got = [tuple(r) for r in twins.value_verdicts(inc, info, F.lit(3.0)).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
 def test_rarest_structure_of_many_equal(spark):
     n = 20_000
     info = spark.range(n).select(F.col("id").alias("entity_id"), F.array(F.lit("salt-S")).alias("l4"))
