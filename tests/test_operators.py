@@ -1,6 +1,7 @@
 """Hand-made graphs and rows with known answers."""
 
 import random
+from collections import Counter
 from pathlib import Path
 
 import pytest
@@ -481,6 +482,22 @@ def test_verdicts_are_made_where_a_value_lies(spark, monkeypatch):
         assert len(got) == len(want) and set(got) == want
 
 
+def test_phenotypes_of_one_code_are_dealt_over_tasks(spark, monkeypatch):
+    holders = [*((e, "I_CODE", "A|1") for e in range(60)), *((e, "I_CODE", "B|2") for e in (7, 7, None)), (1, "N_Name", "A|1"), (2, "I_CODE", None)]
+    inc = spark.createDataFrame(holders, "entity_id long, key string, value string")
+    links = [("a|1", "A|1", " often ")] * 40 + [("A|1", "b|2", "n/a"), ("b|2", "b|2", None), ("A|1", "none", "x"), (None, "A|1", "x"), ("b|2", None, "x")]
+    rows = spark.createDataFrame(links, "disorder string, phenotype string, frequency string")
+    of = {c: [e for e, k, v in holders if k == "I_CODE" and v == c] for c in ("A|1", "B|2")}
+    want = Counter((x, y, "often" if f == " often " else None) for a, b, f in links for x in of.get((a or "").upper(), []) for y in of.get((b or "").upper(), []))
+    for block, pairs in ((1000, 4_000_000), (7, 1000)):
+        monkeypatch.setattr(loaders, "BLOCK", block, raising=False)
+        monkeypatch.setattr(loaders, "PAIRS", pairs, raising=False)
+        out = loaders.phenotypes(rows, inc)
+        assert Counter((r.src, r.dst, r.attrs and r.attrs["frequency"]) for r in out.collect()) == want and {r.key for r in out.select("key").distinct().collect()} == {"R_hasPhenotype"}
+    in_task = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(in_task) > 20 and max(in_task) < sum(in_task) / 5
+
+
 def test_rarest_structure_of_many_equal(spark):
     n = 20_000
     info = spark.range(n).select(F.col("id").alias("entity_id"), F.array(F.lit("salt-S")).alias("l4"))
